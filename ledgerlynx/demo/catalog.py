@@ -8,6 +8,7 @@ and statistics read the stored copy, as their users would.
 from __future__ import annotations
 
 import datetime as dt
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -33,7 +34,7 @@ from ..operators import (
 )
 from ..plans import panel as panel_plan
 from ..plans import screening
-from ..session import materialise, new_folder
+from ..session import CALL_SITES, materialise, new_folder
 from ..sources import landed, sinks
 from ..streaming import refresh
 from . import oracle as o
@@ -48,7 +49,12 @@ ORACLES: dict[str, str] = {}
 
 def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     def add(fn: Query) -> Query:
-        QUERIES[name] = fn
+        @functools.wraps(fn)
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            spark.conf.set(CALL_SITES, "false")
+            return fn(spark, sf_dir)
+
+        QUERIES[name] = run
         if sql is not None:
             ORACLES[name] = sql
         return fn
@@ -1559,8 +1565,7 @@ def _(spark, d):
 
 def _stream(spark: SparkSession, d: str, name: str) -> DataFrame:
     """A driver table as a file stream."""
-    schema = t.table(spark, d, name).schema
-    return spark.readStream.schema(schema).parquet(f"{d}/{name}.parquet*")
+    return spark.readStream.schema(t.TABLE_SCHEMAS[name]).parquet(f"{d}/{name}.parquet*")
 
 
 @register(

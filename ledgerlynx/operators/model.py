@@ -208,19 +208,10 @@ class WalkForward:
     importances: DataFrame
 
 
-def _imputed(rows: DataFrame, medians: DataFrame, year: int, features: Sequence[str]) -> DataFrame:
-    row = (
-        medians.where(c("test_year") == year)
-        .agg(
-            F.struct(
-                *[F.max(F.when(c("feature") == f, c("median"))).alias(f) for f in features]
-            ).alias("m")
-        )
-        .scalar()
-    )
-    # A feature without any training value falls back to 0.
+def _imputed(rows: DataFrame, medians: dict[str, float], features: Sequence[str]) -> DataFrame:
+    """A feature without any training value falls back to 0."""
     return rows.withColumns(
-        {f: F.coalesce(c(f).cast("double"), row[f], F.lit(0.0)) for f in features}
+        {f: F.coalesce(c(f).cast("double"), F.lit(medians.get(f, 0.0))) for f in features}
     )
 
 
@@ -240,11 +231,14 @@ def walk_forward(
     feats = list(features or present_features(rows))
     frozen = cut_lineage(rows.select("cik", "fiscal_year", label, beat, *feats))
     splits = walk_forward_splits(frozen)
-    medians = cut_lineage(train_medians(frozen, splits, feats))
+    # One number per test year and feature.
+    medians: dict[int, dict[str, float]] = {}
+    for r in train_medians(frozen, splits, feats).collect():
+        medians.setdefault(r["test_year"], {})[r["feature"]] = r["median"]
     assembler = VectorAssembler(inputCols=feats, outputCol="features")
     predictions, importances = [], []
     for year in sorted(r["test_year"] for r in splits.select("test_year").collect()):
-        data = assembler.transform(_imputed(frozen, medians, year, feats)).select(
+        data = assembler.transform(_imputed(frozen, medians.get(year, {}), feats)).select(
             "cik",
             "fiscal_year",
             "features",

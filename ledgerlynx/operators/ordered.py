@@ -65,11 +65,21 @@ def running_before(
     )
 
 
-def ordinal_rank(df: DataFrame, value: str, key: str, name: str) -> DataFrame:
-    """(key, rank): 1-based position by ``value`` descending among non-null rows."""
-    rows = df.where(F.col(value).isNotNull()).select(key, value, F.lit(1).alias("one"))
-    ranked = running_before(rows, [], [F.col(value).desc(), F.col(key).asc()], ["one"])
-    return ranked.select(key, (F.col("before_one") + 1).cast("bigint").alias(name))
+def ordinal_ranks(df: DataFrame, key: str, values: dict[str, str]) -> DataFrame:
+    """(key, one rank per entry): 1-based position by value, descending.
+
+    ``values`` maps rank name to column.  Nulls get no rank, ties follow
+    ``key``.  All ranks share one range sort of narrow (name, value, key) rows.
+    """
+    long = df.select(key, *[F.col(v).cast("double").alias(n) for n, v in values.items()]).unpivot(
+        [key], list(values), "metric", "value"
+    )
+    rows = long.where(F.col("value").isNotNull()).withColumn("one", F.lit(1))
+    placed = running_before(rows, ["metric"], [F.col("value").desc(), F.col(key).asc()], ["one"])
+    rank = (F.col("before_one") + 1).cast("bigint")
+    return placed.groupBy(key).agg(
+        *[F.max(F.when(F.col("metric") == n, rank)).alias(n) for n in values]
+    )
 
 
 def exact_quantiles(

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from ..functions import flag, rnd, sd
 from ..functions.formats import NOT_AVAILABLE, fixed
-from .ordered import ordinal_rank
+from ..session import materialise
+from .ordered import ordinal_ranks
 from .signals import flatten_signals
 
 c = F.col
@@ -98,15 +99,14 @@ def score_signals(signals: DataFrame) -> DataFrame:
 def magic_ranks(scored: DataFrame, key: str = "cik") -> DataFrame:
     """Ordinal ranks by earnings yield and return on capital, and their sum.
 
-    Ties are broken by ``key``.  Each rank is a distributed sort of two narrow
-    columns (see ``ordered``), joined back on the key.
+    Ties are broken by ``key``.  The ranks run ``scored`` once more, so hand in
+    a stored table.
     """
-    by_yield = ordinal_rank(scored, "earnings_yield", key, "earnings_yield_rank")
-    by_roc = ordinal_rank(scored, "return_on_capital", key, "roc_rank")
-    return (
-        scored.join(by_yield, key, "left")
-        .join(by_roc, key, "left")
-        .withColumn("magic_formula_rank", c("earnings_yield_rank") + c("roc_rank"))
+    ranks = ordinal_ranks(
+        scored, key, {"earnings_yield_rank": "earnings_yield", "roc_rank": "return_on_capital"}
+    )
+    return scored.join(ranks, key, "left").withColumn(
+        "magic_formula_rank", c("earnings_yield_rank") + c("roc_rank")
     )
 
 
@@ -133,8 +133,13 @@ def order_by_risk(df: DataFrame, *ties: str) -> DataFrame:
 
 
 def build_report(signals: DataFrame) -> DataFrame:
-    """The gold table: 63 flat columns plus the company key."""
-    return magic_ranks(score_signals(signals)).select("cik", *REPORT_COLUMNS)
+    """The gold table: 63 flat columns plus the company key.
+
+    The scored rows are stored before ranking: the pipeline behind them runs
+    once, and the rank sort then reads three columns of a parquet table.
+    """
+    scored = materialise(score_signals(signals), "scored")
+    return magic_ranks(scored).select("cik", *REPORT_COLUMNS)
 
 
 def top_suspicious(report: DataFrame, n: int = 20) -> DataFrame:

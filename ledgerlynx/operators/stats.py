@@ -175,18 +175,14 @@ def winsorise(
     """Clip columns at their quantiles; ``reference`` supplies the bounds.
 
     The default takes bounds from all rows, test years included; pass the
-    training rows to avoid that leak.
+    training rows to avoid that leak.  Fitting brings two numbers per column to
+    the driver, so the result is a plain projection with constants.
     """
     bounds = winsor_bounds(df if reference is None else reference, columns, low, high)
-    fields = [
-        F.struct(
-            F.max(F.when(c("feature") == x, c("lo"))).alias("lo"),
-            F.max(F.when(c("feature") == x, c("hi"))).alias("hi"),
-        ).alias(x)
-        for x in columns
-    ]
-    row = bounds.agg(F.struct(*fields).alias("b")).scalar()
-    return df.withColumns({x: clip(c(x).cast("double"), row[x]["lo"], row[x]["hi"]) for x in columns})
+    fitted = {r["feature"]: (r["lo"], r["hi"]) for r in bounds.collect()}
+    return df.withColumns(
+        {x: clip(c(x).cast("double"), *fitted[x]) for x in columns if x in fitted}
+    )
 
 
 # -- correlation --------------------------------------------------------------
@@ -221,16 +217,15 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str], min_values: int =
     Columns with ``min_values`` values or fewer are left out.
     """
     names = list(columns)
-    means = df.agg(
-        F.struct(*[F.avg(c(x).cast("double")).alias(x) for x in names]).alias("m")
-    ).scalar()
-    centred = df.select(*[(c(x).cast("double") - means[x]).alias(x) for x in names])
+    means = df.agg(*[F.avg(c(x).cast("double")).alias(x) for x in names]).first()
+    shift = np.array([means[x] or 0.0 for x in names])
+    values = df.select(*[c(x).cast("double").alias(x) for x in names])
     k = len(names)
 
     def fold(batches):
         total = np.zeros((5, k, k))
         for pdf in batches:
-            x = pdf[names].to_numpy(dtype=float, na_value=np.nan)
+            x = pdf[names].to_numpy(dtype=float, na_value=np.nan) - shift
             mask = np.isfinite(x).astype(float)
             x = np.where(mask > 0, x, 0.0)
             total[0] += mask.T @ mask
@@ -246,7 +241,7 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str], min_values: int =
             }
         )
 
-    sums = centred.mapInPandas(
+    sums = values.mapInPandas(
         fold, "i int, j int, n double, sx double, sy double, sxx double, sxy double"
     )
     sums = sums.groupBy("i", "j").agg(*[F.sum(x).alias(x) for x in ("n", "sx", "sy", "sxx", "sxy")])

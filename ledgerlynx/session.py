@@ -8,6 +8,11 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Recording the Python call site of every column costs more than building it,
+#: which shows with plans of several hundred expressions.
+CALL_SITES = "spark.python.sql.dataFrameDebugging.enabled"
+
+
 def local_session(app: str = "ledgerlynx", cores: int | str = "*", **conf: str) -> SparkSession:
     """A single-JVM session for tests and benchmarks; clusters bring their own."""
     builder = (
@@ -19,6 +24,7 @@ def local_session(app: str = "ledgerlynx", cores: int | str = "*", **conf: str)
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
+        .config(CALL_SITES, "false")
         .config("spark.ui.showConsoleProgress", "false")
     )
     for key, value in conf.items():

@@ -8,7 +8,6 @@ and statistics read the stored copy, as their users would.
 from __future__ import annotations
 
 import datetime as dt
-import functools
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -34,7 +33,7 @@ from ..operators import (
 )
 from ..plans import panel as panel_plan
 from ..plans import screening
-from ..session import CALL_SITES, materialise, new_folder
+from ..session import materialise, new_folder
 from ..sources import landed, sinks
 from ..streaming import refresh
 from . import oracle as o
@@ -49,12 +48,7 @@ ORACLES: dict[str, str] = {}
 
 def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     def add(fn: Query) -> Query:
-        @functools.wraps(fn)
-        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            spark.conf.set(CALL_SITES, "false")
-            return fn(spark, sf_dir)
-
-        QUERIES[name] = run
+        QUERIES[name] = fn
         if sql is not None:
             ORACLES[name] = sql
         return fn
@@ -76,12 +70,7 @@ def _gold(spark: SparkSession, sf_dir: str, name: str, build: Query) -> DataFram
 
 
 def build_financials(spark: SparkSession, d: str) -> DataFrame:
-    inputs = t.screen_inputs(spark, d)
-    fin = screening.base_financials(inputs.companies, inputs.facts)
-    fin = enrich.fill_market_cap(fin, inputs.quotes)
-    fin = screening.enrich_market(fin, inputs.bars, inputs.quotes, t.AS_OF)
-    fin = screening.enrich_insider(fin, inputs.submissions, inputs.form4_documents, t.AS_OF)
-    return screening.enrich_auditor(fin, inputs.facts)
+    return screening.enriched_financials(t.screen_inputs(spark, d), t.AS_OF)
 
 
 def build_report(spark: SparkSession, d: str) -> DataFrame:
@@ -669,7 +658,7 @@ def _(spark, d):
 
 @register("insider_signals", o.query("SELECT * FROM ins", "ins"))
 def _(spark, d):
-    filings = insider.recent_filings(t.submissions(spark, d), t.AS_OF)
+    filings = insider.newest_per_company(insider.recent_filings(t.submissions(spark, d), t.AS_OF))
     sums = insider.filing_sums(insider.parse_transactions(t.form4_documents(spark, d)))
     return insider.insider_signals(filings, sums)
 

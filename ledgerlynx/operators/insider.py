@@ -65,11 +65,12 @@ def filing_sums(transactions: DataFrame) -> DataFrame:
 
 
 def insider_signals(filings: DataFrame, sums: DataFrame) -> DataFrame:
-    """Company signal over its newest filings; companies without filings are absent.
+    """Company signal over the given filings; companies without filings are absent.
 
-    The counts are numbers of filings with a sale / a purchase.
+    ``filings`` come from :func:`newest_per_company`.  The counts are numbers of
+    filings with a sale / a purchase.
     """
-    joined = newest_per_company(filings).join(sums, ["cik", "accession"], "left")
+    joined = filings.join(sums, ["cik", "accession"], "left")
     sales = F.coalesce("sales", F.lit(0))
     bought = F.coalesce("purchases", F.lit(0))
     agg = joined.groupBy("cik").agg(

@@ -238,12 +238,15 @@ def walk_forward(
     assembler = VectorAssembler(inputCols=feats, outputCol="features")
     predictions, importances = [], []
     for year in sorted(r["test_year"] for r in splits.select("test_year").collect()):
-        data = assembler.transform(_imputed(frozen, medians.get(year, {}), feats)).select(
-            "cik",
-            "fiscal_year",
-            "features",
-            F.coalesce(c(beat).cast("double"), F.lit(0.0)).alias("beat"),
-            F.coalesce(c(label), F.lit(0.0)).alias("actual"),
+        seen = frozen.where(c("fiscal_year") <= year)
+        data = cut_lineage(
+            assembler.transform(_imputed(seen, medians.get(year, {}), feats)).select(
+                "cik",
+                "fiscal_year",
+                "features",
+                F.coalesce(c(beat).cast("double"), F.lit(0.0)).alias("beat"),
+                F.coalesce(c(label), F.lit(0.0)).alias("actual"),
+            )
         )
         train, test = data.where(c("fiscal_year") < year), data.where(c("fiscal_year") == year)
         clf = GBTClassifier(labelCol="beat", **p.kwargs()).fit(train)

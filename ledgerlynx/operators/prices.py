@@ -104,7 +104,7 @@ def price_days(bars: DataFrame, tolerance: int = TOLERANCE_DAYS) -> DataFrame:
 
     ``entry`` / ``exit_12m`` / ``exit_24m`` look forward; the rest looks back
     from the day.  Bars carry running totals, the days of a ticker are dense
-    from its first to its last bar, so every look-back is a difference between
+    until its last bar, so every look-back is a difference between
     two rows a fixed distance apart: linear in the number of days.
     """
     per_bar = Window.partitionBy("ticker").orderBy("date")
@@ -135,7 +135,8 @@ def price_days(bars: DataFrame, tolerance: int = TOLERANCE_DAYS) -> DataFrame:
         }
     )
     marked = marked.withColumn("before", F.lag("here").over(per_bar))
-    first_day = F.coalesce(F.date_add("prev_date", 1), F.col("date"))
+    # A filing shortly before the first bar still finds it.
+    first_day = F.coalesce(F.date_add("prev_date", 1), F.date_sub("date", tolerance - 1))
     on_bar = F.col("day") == F.col("bar_date")
     days = _spread(marked, first_day, "close", "here", "before").select(
         "ticker",

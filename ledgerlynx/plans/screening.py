@@ -26,6 +26,8 @@ class ScreenInputs:
     submissions: DataFrame | None = None
     form4_documents: DataFrame | None = None
     filing_texts: DataFrame | None = None
+    #: Optional phrase, start and end of the text search.
+    phrase: tuple = ()
 
 
 def base_financials(companies: DataFrame, facts: DataFrame) -> DataFrame:
@@ -59,35 +61,49 @@ def enrich_insider(
     return enrich.update_columns(financials, signals, "cik", list(schemas.INSIDER_FIELDS))
 
 
-def enrich_auditor(financials: DataFrame, facts: DataFrame) -> DataFrame:
-    """Auditor and going-concern fields from tagged facts."""
-    found = facts_ops.going_concern_flags(facts).join(
-        facts_ops.latest_auditor(facts), "cik", "left"
+def enrich_auditor_names(financials: DataFrame, facts: DataFrame) -> DataFrame:
+    """Newest auditor name; the tagged going-concern flag came with the snapshot."""
+    return enrich.update_columns(
+        financials, facts_ops.latest_auditor(facts), "cik", ["auditor_name"]
     )
-    out = enrich.update_columns(financials, found, "cik", ["going_concern", "auditor_name"])
-    return out.withColumns(
+
+
+def classify_auditors(financials: DataFrame) -> DataFrame:
+    """Needs the final market cap."""
+    return financials.withColumns(
         governance.classify_auditor(F.col("auditor_name"), F.col("market_cap"))
     )
 
 
-def run_screen(inputs: ScreenInputs, as_of: dt.date) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(financials, signals, report)."""
+def override_going_concern(financials: DataFrame, ciks: DataFrame) -> DataFrame:
+    """The text search replaces the tagged flag; auditor fields stay."""
+    hits = ciks.select("cik_text", F.lit(True).alias("_hit"))
+    return (
+        financials.withColumn("cik_text", facts_ops.stripped_cik(F.col("cik")))
+        .join(hits, "cik_text", "left")
+        .withColumn("going_concern", F.col("_hit").isNotNull())
+        .drop("_hit", "cik_text")
+    )
+
+
+def enriched_financials(inputs: ScreenInputs, as_of: dt.date) -> DataFrame:
+    """All enrichments.  Joins on cik come first and share one partitioning, then ticker."""
     fin = base_financials(inputs.companies, inputs.facts)
+    if inputs.submissions is not None and inputs.form4_documents is not None:
+        fin = enrich_insider(fin, inputs.submissions, inputs.form4_documents, as_of)
+    fin = enrich_auditor_names(fin, inputs.facts)
     if inputs.quotes is not None:
         fin = enrich.fill_market_cap(fin, inputs.quotes)
     if inputs.bars is not None:
         fin = enrich_market(fin, inputs.bars, inputs.quotes, as_of)
-    if inputs.submissions is not None and inputs.form4_documents is not None:
-        fin = enrich_insider(fin, inputs.submissions, inputs.form4_documents, as_of)
-    fin = enrich_auditor(fin, inputs.facts)
     if inputs.filing_texts is not None:
-        # The text search overrides the tagged flag but keeps the auditor here.
-        hits = governance.phrase_ciks(inputs.filing_texts).withColumn("_hit", F.lit(True))
-        fin = (
-            fin.withColumn("cik_text", facts_ops.stripped_cik(F.col("cik")))
-            .join(hits, "cik_text", "left")
-            .withColumn("going_concern", F.col("_hit").isNotNull())
-            .drop("_hit", "cik_text")
-        )
+        ciks = governance.phrase_ciks(inputs.filing_texts, *inputs.phrase)
+        fin = override_going_concern(fin, ciks)
+    return classify_auditors(fin)
+
+
+def run_screen(inputs: ScreenInputs, as_of: dt.date) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(financials, signals, report)."""
+    fin = enriched_financials(inputs, as_of)
     signals = assemble_signals(fin)
     return fin, signals, build_report(signals)

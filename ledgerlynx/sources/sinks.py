@@ -18,12 +18,11 @@ def write_table(df: DataFrame, path: str) -> None:
 def write_panel(panel: DataFrame, path: str) -> None:
     """Panel partitioned by fiscal year; only the years present are replaced.
 
-    Rows are shuffled by year first, spread over a few files per year by
-    company, so a write task does not open a file for every year.
+    The rebalance brings a year together, splits a year too large for one task
+    and merges small ones, so files end up evenly sized.
     """
     (
-        panel.repartition("fiscal_year", "cik")
-        .sortWithinPartitions("fiscal_year")
+        panel.hint("rebalance", "fiscal_year")
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("fiscal_year")

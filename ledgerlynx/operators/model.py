@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import rnd, sd
-from ..session import cut_lineage
+from ..session import materialise
 from .features import EXTENDED_COLUMNS, FLAG_COLUMNS, YOY_COLUMNS
 from .ordered import quantiles_of_counts, running_before
 from .prices import PRICE_FEATURES
@@ -229,7 +229,7 @@ def walk_forward(
     """
     p = params or TreeParams()
     feats = list(features or present_features(rows))
-    frozen = cut_lineage(rows.select("cik", "fiscal_year", label, beat, *feats))
+    frozen = materialise(rows.select("cik", "fiscal_year", label, beat, *feats), "training")
     splits = walk_forward_splits(frozen)
     # One number per test year and feature.
     medians: dict[int, dict[str, float]] = {}
@@ -239,14 +239,15 @@ def walk_forward(
     predictions, importances = [], []
     for year in sorted(r["test_year"] for r in splits.select("test_year").collect()):
         seen = frozen.where(c("fiscal_year") <= year)
-        data = cut_lineage(
+        data = materialise(
             assembler.transform(_imputed(seen, medians.get(year, {}), feats)).select(
                 "cik",
                 "fiscal_year",
                 "features",
                 F.coalesce(c(beat).cast("double"), F.lit(0.0)).alias("beat"),
                 F.coalesce(c(label), F.lit(0.0)).alias("actual"),
-            )
+            ),
+            f"split-{year}",
         )
         train, test = data.where(c("fiscal_year") < year), data.where(c("fiscal_year") == year)
         clf = GBTClassifier(labelCol="beat", **p.kwargs()).fit(train)

@@ -1,68 +1,92 @@
 """Whole-table ordering without a single-task window.
 
-Ranks, exact quantiles and rank sums all need "how many come before this row".
+Ranks, exact quantiles and rank sums all need "how much comes before this row".
 An un-partitioned window would send the table to one task, and ``percentile``
 keeps every distinct value of a group in one buffer.  Here the (already
-combined) rows are range-partitioned and sorted, frozen once on reliable
-storage so that partition ids mean the same in every later step, and each
-partition's offset is a running total over a tiny table.  Keys in the sort are
-unique after combining, so ranges stay balanced for any distribution.
+combined) rows are range-partitioned, sorted, and stored once in the shared
+folder together with their range number, so every later step sees the same
+ranges even if executors are lost in between.  The offset of a range is a
+running total over one row per range.  Sort keys are unique after combining,
+so ranges stay balanced for any distribution of values.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import materialise
 
 _PART = "_part"
+_GROUP = "_group"
 
 
-def running_before(
-    df: DataFrame, groups: Sequence[str], order: Sequence[Column], sums: Sequence[str]
-) -> DataFrame:
-    """Add ``before_<s>`` (sum of ``s`` over earlier rows of the group) and ``total_<s>``.
+@dataclass(frozen=True)
+class _Ranges:
+    """Stored sorted rows, and per (group, range) the sum, offset and group total."""
 
-    ``groups`` plus ``order`` must identify a row.
-    """
-    keys = [F.col(g) for g in groups]
-    fixed = cut_lineage(
-        df.repartitionByRange(*[k.asc_nulls_last() for k in keys], *order)
-        .sortWithinPartitions(*[k.asc_nulls_last() for k in keys], *order)
-        .withColumn(_PART, F.spark_partition_id())
-    )
-    # A group spans neighbouring ranges: rows here are at most ranges + groups.
-    totals = fixed.groupBy(*groups, _PART).agg(*[F.sum(s).alias(f"_sum_{s}") for s in sums])
-    across = (
-        Window.partitionBy(*groups)
-        .orderBy(_PART)
-        .rowsBetween(Window.unboundedPreceding, -1)
+    rows: DataFrame
+    offsets: DataFrame
+    order: Sequence[Column]
+    sums: Sequence[str]
+
+
+def _split(
+    df: DataFrame, groups: Sequence[str], order: Sequence[Column], sums: Sequence[str]
+) -> _Ranges:
+    # A struct key makes null groups ordinary values and one partitioning serve
+    # the window and the join below.
+    key = F.struct(*groups) if groups else F.lit(0)
+    rows = materialise(
+        df.withColumn(_GROUP, key)
+        .repartitionByRange(F.col(_GROUP).asc(), *order)
+        .sortWithinPartitions(F.col(_GROUP).asc(), *order)
+        .withColumn(_PART, F.spark_partition_id()),
+        "sorted",
     )
-    whole = Window.partitionBy(*groups)
-    offsets = totals.select(
-        *groups,
-        _PART,
-        *[F.coalesce(F.sum(f"_sum_{s}").over(across), F.lit(0)).alias(f"_off_{s}") for s in sums],
-        *[F.sum(f"_sum_{s}").over(whole).alias(f"total_{s}") for s in sums],
+    # A group covers neighbouring ranges: at most ranges + groups rows.
+    totals = rows.groupBy(_GROUP, _PART).agg(*[F.sum(s).alias(f"sum_{s}") for s in sums])
+    whole = Window.partitionBy(_GROUP)
+    earlier = whole.orderBy(_PART).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.withColumns(
+        {
+            **{f"off_{s}": F.coalesce(F.sum(f"sum_{s}").over(earlier), F.lit(0)) for s in sums},
+            **{f"total_{s}": F.sum(f"sum_{s}").over(whole) for s in sums},
+        }
     )
+    return _Ranges(rows, offsets, order, sums)
+
+
+def _place(r: _Ranges, only: Sequence[int] | None = None) -> DataFrame:
+    """Rows with ``before_<s>`` and ``total_<s>``; ``only`` restricts the ranges."""
+    rows = r.rows if only is None else r.rows.where(F.col(_PART).isin(list(only)))
     within = (
-        Window.partitionBy(*groups, _PART)
-        .orderBy(*order)
+        Window.partitionBy(_GROUP, _PART)
+        .orderBy(*r.order)
         .rowsBetween(Window.unboundedPreceding, -1)
     )
-    local = fixed.withColumns(
-        {f"_run_{s}": F.coalesce(F.sum(s).over(within), F.lit(0)) for s in sums}
-    )
-    on = [local[k].eqNullSafe(offsets[k]) for k in (*groups, _PART)]
-    joined = local.join(offsets, on, "inner")
-    return joined.select(
-        *[local[k] for k in df.columns],
-        *[(F.col(f"_run_{s}") + F.col(f"_off_{s}")).alias(f"before_{s}") for s in sums],
-        *[F.col(f"total_{s}") for s in sums],
+    local = rows.withColumns(
+        {f"_run_{s}": F.coalesce(F.sum(s).over(within), F.lit(0)) for s in r.sums}
     )
+    placed = local.join(r.offsets, [_GROUP, _PART])
+    return placed.withColumns(
+        {f"before_{s}": F.col(f"_run_{s}") + F.col(f"off_{s}") for s in r.sums}
+    ).drop(_GROUP, _PART, *[f"{p}_{s}" for p in ("_run", "off", "sum") for s in r.sums])
+
+
+def running_before(
+    df: DataFrame, groups: Sequence[str], order: Sequence[Column], sums: Sequence[str]
+) -> DataFrame:
+    """Add ``before_<s>`` (sum of ``s`` over earlier rows of the group) and ``total_<s>``.
+
+    ``groups`` plus ``order`` must identify a row.
+    """
+    return _place(_split(df, groups, order, sums))
 
 
 def ordinal_ranks(df: DataFrame, key: str, values: dict[str, str]) -> DataFrame:
@@ -103,24 +127,46 @@ def exact_quantiles(
 def quantiles_of_counts(
     counts: DataFrame, value: str, count: str, probs: Sequence[float], groups: Sequence[str] = ()
 ) -> DataFrame:
-    """Quantiles of a value -> count table (one row per group and value)."""
+    """Quantiles of a value -> count table (one row per group and value).
+
+    Only the ranges that hold a wanted position are placed row by row.
+    """
     groups = list(groups)
-    placed = running_before(counts, groups, [F.col(value).asc()], [count])
+    ranges = _split(counts, groups, [F.col(value).asc()], [count])
+    total = F.col(f"total_{count}")
+
+    def position(p: float) -> Column:
+        return (total - 1) * F.lit(float(p))
+
+    def covers(first: Column, end: Column, at: Column) -> Column:
+        return (first <= at) & (at < end)
+
+    off = F.col(f"off_{count}")
+    range_end = off + F.col(f"sum_{count}")
+    needed = reduce(
+        or_,
+        [
+            covers(off, range_end, F.floor(position(p))) | covers(off, range_end, F.floor(position(p)) + 1)
+            for p in probs
+        ],
+    )
+    # At most one number per range.
+    parts = [r[0] for r in ranges.offsets.where(needed).select(_PART).distinct().collect()]
+    placed = _place(ranges, parts)
     first = F.col(f"before_{count}")
     end = first + F.col(count)
 
     def target(p: float) -> Column:
-        h = (F.col(f"total_{count}") - 1) * F.lit(float(p))
+        h = position(p)
         at = F.floor(h)
-        holds_low = (first <= at) & (at < end)
-        holds_high = (first <= at + 1) & (at + 1 < end)
+        low, high = covers(first, end, at), covers(first, end, at + 1)
         return F.when(
-            holds_low | holds_high,
+            low | high,
             F.struct(
                 F.lit(float(p)).alias("prob"),
                 (h - at).alias("frac"),
-                F.when(holds_low, F.col(value)).alias("low"),
-                F.when(holds_high, F.col(value)).alias("high"),
+                F.when(low, F.col(value)).alias("low"),
+                F.when(high, F.col(value)).alias("high"),
             ),
         )
 

@@ -247,9 +247,11 @@ def attach_prices(
     exit, and the backward features depend on it.  ``pit_strict`` always uses
     the as-of entry instead, so young filings keep their features.
     """
+    # The benchmark is one row per calendar day (about 36,500 in a century),
+    # whatever the number of companies: small enough to broadcast.
     joined = filings.join(
         days.withColumnRenamed("day", "filed_date"), ["ticker", "filed_date"], "left"
-    ).join(bench.withColumnRenamed("day", "filed_date"), "filed_date", "left")
+    ).join(F.broadcast(bench.withColumnRenamed("day", "filed_date")), "filed_date", "left")
     c = F.col
 
     def matured(horizon: int) -> Column:

@@ -140,13 +140,10 @@ def histogram(
     Without bounds, values are clipped at the exact 1% and 99% quantiles.
     """
     v = c(column).cast("double")
-    rows = df.where(v.isNotNull()).select(v.alias("v"))
     if low is None or high is None:
-        q = quantile_columns(rows, "v", {"lo": 0.01, "hi": 0.99})
-        bounds = q.select(F.struct("lo", "hi")).scalar()
-        rows = rows.select(clip(c("v"), bounds["lo"], bounds["hi"]).alias("v"))
-    else:
-        rows = rows.select(clip(c("v"), low, high).alias("v"))
+        q = quantile_columns(df, column, {"lo": 0.01, "hi": 0.99}).first()
+        low, high = (0.0 if q[x] is None else q[x] for x in ("lo", "hi"))
+    rows = df.where(v.isNotNull()).select(clip(v, low, high).alias("v"))
     span = rows.agg(F.struct(F.min("v").alias("lo"), F.max("v").alias("hi")).alias("s")).scalar()
     width = (span["hi"] - span["lo"]) / F.lit(float(bins))
     raw = F.floor(F.coalesce(sd(c("v") - span["lo"], width), F.lit(0.0)))

@@ -1,4 +1,4 @@
-"""Session defaults and the one place that cuts lineage."""
+"""Session defaults and the shared folder for stored intermediate tables."""
 
 from __future__ import annotations
 
@@ -45,31 +45,23 @@ def shared_folder(spark: SparkSession) -> str:
         if not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         directory = _fallback[sc.applicationId] = tempfile.mkdtemp(prefix="spark-")
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(directory)
     return directory
 
 
 _fallback: dict[str, str] = {}
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` once on reliable storage.
-
-    Used where later steps must see the very same physical layout (partition
-    ids of a range sort).
-    """
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def new_folder(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder (not created)."""
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write a parquet table below the shared folder and read it back."""
+    """Write a parquet table below the shared folder and read it back.
+
+    Cuts the lineage: what follows survives lost executors without running
+    ``df`` again, and several readers share one run of it.
+    """
     path = new_folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -1483,7 +1483,7 @@ def _(spark, d):
 )
 def _(spark, d):
     rows = panel(spark, d).where(c("forward_return_12m").isNotNull())
-    m = model.train_medians(rows, model.walk_forward_splits(rows), PREP)
+    m = model.train_medians(rows, model.test_years(model.walk_forward_splits(rows)), PREP)
     return m.select(*counted("test_year"), "feature", rnd("median", 5).alias("median"))
 
 

@@ -94,7 +94,12 @@ def walk_forward_splits(rows: DataFrame) -> DataFrame:
     )
 
 
-def train_medians(rows: DataFrame, splits: DataFrame, features: Sequence[str]) -> DataFrame:
+def test_years(splits: DataFrame) -> list[int]:
+    """The split years on the driver: one number per fiscal year."""
+    return sorted(r["test_year"] for r in splits.select("test_year").collect())
+
+
+def train_medians(rows: DataFrame, years: Sequence[int], features: Sequence[str]) -> DataFrame:
     """(test_year, feature, median) over the rows before each test year.
 
     Values are combined per year first; only the counts are handed to the later
@@ -106,10 +111,9 @@ def train_medians(rows: DataFrame, splits: DataFrame, features: Sequence[str]) -
         .groupBy("fiscal_year", "feature", "value")
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    # One row per fiscal year on the split side.
-    handed = counts.join(
-        F.broadcast(splits.select("test_year")), c("fiscal_year") < c("test_year")
-    )
+    splits = F.array(*[F.lit(int(y)) for y in years])
+    later = F.filter(splits, lambda y: y > c("fiscal_year"))
+    handed = counts.withColumn("test_year", F.explode(later))
     merged = handed.groupBy("test_year", "feature", "value").agg(F.sum("n").alias("n"))
     return quantiles_of_counts(merged, "value", "n", [0.5], ["test_year", "feature"]).select(
         "test_year", "feature", c("quantile").alias("median")
@@ -230,14 +234,16 @@ def walk_forward(
     p = params or TreeParams()
     feats = list(features or present_features(rows))
     frozen = materialise(rows.select("cik", "fiscal_year", label, beat, *feats), "training")
-    splits = walk_forward_splits(frozen)
+    years = test_years(walk_forward_splits(frozen))
+    if not years:
+        raise ValueError("not enough labelled years for a walk-forward split")
     # One number per test year and feature.
     medians: dict[int, dict[str, float]] = {}
-    for r in train_medians(frozen, splits, feats).collect():
+    for r in train_medians(frozen, years, feats).collect():
         medians.setdefault(r["test_year"], {})[r["feature"]] = r["median"]
     assembler = VectorAssembler(inputCols=feats, outputCol="features")
     predictions, importances = [], []
-    for year in sorted(r["test_year"] for r in splits.select("test_year").collect()):
+    for year in years:
         seen = frozen.where(c("fiscal_year") <= year)
         data = materialise(
             assembler.transform(_imputed(seen, medians.get(year, {}), feats)).select(
@@ -271,8 +277,6 @@ def walk_forward(
                 "test_year int, feature string, importance double",
             )
         )
-    if not predictions:
-        raise ValueError("not enough labelled years for a walk-forward split")
     return WalkForward(
         reduce(DataFrame.unionByName, predictions), reduce(DataFrame.unionByName, importances)
     )

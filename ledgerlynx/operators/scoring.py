@@ -147,19 +147,25 @@ def top_suspicious(report: DataFrame, n: int = 20) -> DataFrame:
 
 
 def console_lines(report: DataFrame, n: int = 20) -> DataFrame:
-    """The top-n as fixed-width text lines, column ``line``, in order of ``pos``."""
+    """The top-n as aligned text lines, most suspicious first."""
 
     def cell(col: str, digits: int) -> Column:
         return F.when(c(col).isNull(), NOT_AVAILABLE).otherwise(fixed(col, digits))
 
+    def left(x: Column, width: int) -> Column:
+        return F.format_string(f"%-{width}s", x)
+
+    def right(x: Column, width: int) -> Column:
+        return F.format_string(f"%{width}s", x)
+
     top = top_suspicious(report, n)
     line = F.concat(
-        F.rpad(F.coalesce(c("ticker"), F.lit(NOT_AVAILABLE)), 8, " "), F.lit(" "),
-        F.rpad("risk", 14, " "), F.lit(" "),
-        F.lpad(cell("fraud_score", 1), 6, " "), F.lit(" "),
-        F.lpad(cell("beneish_score", 2), 8, " "), F.lit(" "),
-        F.lpad(cell("altman_score", 2), 8, " "), F.lit(" "),
-        F.lpad(c("red_flags_count").cast("string"), 6, " "), F.lit("  "),
+        left(F.coalesce(c("ticker"), F.lit(NOT_AVAILABLE)), 8), F.lit(" "),
+        left(c("risk"), 14), F.lit(" "),
+        right(cell("fraud_score", 1), 6), F.lit(" "),
+        right(cell("beneish_score", 2), 8), F.lit(" "),
+        right(cell("altman_score", 2), 8), F.lit(" "),
+        right(c("red_flags_count").cast("string"), 6), F.lit("  "),
         F.substring("name", 1, 35),
     )
     return top.select("cik", line.alias("line"))

@@ -99,3 +99,13 @@ def test_enrichment_joins(spark, base):
     assert filled.where("going_concern = false AND extra = 4").count() == 2
     both = enrich.append_rows(base.select("cik"), base.select("cik", F.lit(1).alias("x")))
     assert both.count() == 4 and both.where("x IS NULL").count() == 2
+
+
+def test_filed_within_and_daily_counts(spark):
+    t = dt.datetime
+    rows = [(1, "10-K", t(2024, 1, 1, 3)), (2, "10-K", t(2024, 1, 1, 23)), (3, "10-Q", t(2024, 1, 5))]
+    filings = spark.createDataFrame(rows, "cik bigint, form string, filed_ts timestamp")
+    near = refresh.filed_within(filings, t(2024, 1, 5), 3)
+    assert [r["cik"] for r in near.collect()] == [3]
+    days = {(str(r["day"]), r["form"]): r["filings"] for r in refresh.daily_counts(filings).collect()}
+    assert days == {("2024-01-01", "10-K"): 2, ("2024-01-05", "10-Q"): 1}

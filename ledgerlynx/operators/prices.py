@@ -15,6 +15,7 @@ import datetime as dt
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 from ..functions import flag, nz, rnd, sd
 
@@ -71,32 +72,35 @@ def asof_join(queries: DataFrame, bars: DataFrame, date: str, name: str) -> Data
     return queries.join(days, ["ticker", date], "left")
 
 
-def sliding_max(df: DataFrame, axis: str, value: str, width: int, name: str) -> DataFrame:
-    """Maximum of ``value`` over the last ``width`` rows of each ticker, in linear time.
+def block_maxima(df: DataFrame, axis: str, value: str, width: int) -> DataFrame:
+    """First half of a sliding maximum over ``width`` rows, in linear time.
 
-    ``axis`` numbers the rows of a ticker without gaps.  A sliding frame would
-    rescan ``width`` rows per row; here every row combines the running maximum
-    of its own block with the reversed running maximum of the block before.
+    A sliding frame would rescan ``width`` rows per row.  Here every row knows
+    the maximum from the start of its block (``_up``) and to its end
+    (``_down``); a window of ``width`` rows is the tail of one block and the
+    head of the next.  ``axis`` numbers the rows of a ticker without gaps.
+    ``_block`` grows with it, so windows ordered by (``_block``, axis) reuse the
+    sort made here.
     """
-    block = ["ticker", "_block"]
-    up = Window.partitionBy(*block).orderBy(axis)
-    down = Window.partitionBy(*block).orderBy(F.col(axis).desc())
-    series = Window.partitionBy("ticker").orderBy(axis)
+    block = Window.partitionBy("ticker", "_block")
+    so_far = (Window.unboundedPreceding, 0)
     return (
         df.withColumn("_block", F.floor(F.col(axis) / width))
-        .withColumn("_down", F.max(value).over(down))
-        .withColumn("_up", F.max(value).over(up))
-        .withColumn("_start", F.lag("_down", width - 1).over(series))
-        # Before a full window exists, the older block counts from its start.
-        .withColumn("_all", F.max(value).over(series))
-        .withColumn(
-            name,
-            F.when(F.row_number().over(series) < width, F.col("_all")).otherwise(
-                F.greatest("_start", "_up")
-            ),
-        )
-        .drop("_block", "_down", "_up", "_start", "_all")
+        .withColumn("_down", F.max(value).over(block.orderBy(F.col(axis).desc()).rowsBetween(*so_far)))
+        .withColumn("_up", F.max(value).over(block.orderBy(axis).rowsBetween(*so_far)))
+    )
+
+
+def sliding_max(series: WindowSpec, width: int) -> Column:
+    """Second half: combine the two blocks.  ``series`` orders by (``_block``, axis)."""
+    full = F.row_number().over(series) >= width
+    later_block = F.col("_block") > F.first("_block").over(series)
+    begin = (
+        F.when(full, F.lag("_down", width - 1).over(series))
+        # Before a full window exists, it begins with the first row.
+        .when(later_block, F.first("_down").over(series))
     )
+    return F.greatest(begin, F.col("_up"))
 
 
 def price_days(bars: DataFrame, tolerance: int = TOLERANCE_DAYS) -> DataFrame:
@@ -107,19 +111,20 @@ def price_days(bars: DataFrame, tolerance: int = TOLERANCE_DAYS) -> DataFrame:
     until its last bar, so every look-back is a difference between
     two rows a fixed distance apart: linear in the number of days.
     """
-    per_bar = Window.partitionBy("ticker").orderBy("date")
-    running = per_bar.rowsBetween(Window.unboundedPreceding, 0)
-    prev_close = F.lag("close").over(per_bar)
+    by_date = Window.partitionBy("ticker").orderBy("date")
+    prev_close = F.lag("close").over(by_date)
     marked = bars.select("ticker", "date", "close").withColumns(
         {
-            "prev_date": F.lag("date").over(per_bar),
-            "bar_no": F.row_number().over(per_bar),
+            "prev_date": F.lag("date").over(by_date),
+            "bar_no": F.row_number().over(by_date),
             "ret": sd("close", prev_close) - 1,
             # A rise from zero has no finite return; it voids the deviation.
             "broken": ((prev_close == 0) & (F.col("close") != 0)).cast("int"),
         }
     )
-    marked = sliding_max(marked, "bar_no", "close", HIGH_BARS, "high")
+    marked = block_maxima(marked, "bar_no", "close", HIGH_BARS)
+    per_bar = Window.partitionBy("ticker").orderBy("_block", "bar_no")
+    running = per_bar.rowsBetween(Window.unboundedPreceding, 0)
     marked = marked.withColumns(
         {
             # State once this bar is in: totals up to and including it.
@@ -129,7 +134,7 @@ def price_days(bars: DataFrame, tolerance: int = TOLERANCE_DAYS) -> DataFrame:
                 F.coalesce(F.sum("ret").over(running), F.lit(0.0)).alias("s1"),
                 F.coalesce(F.sum(F.col("ret") * F.col("ret")).over(running), F.lit(0.0)).alias("s2"),
                 F.coalesce(F.sum("broken").over(running), F.lit(0)).alias("broken"),
-                F.col("high"),
+                sliding_max(per_bar, HIGH_BARS).alias("high"),
                 *[F.lag("close", n).over(per_bar).alias(f"lag_{n}") for n in MOMENTUM_BARS.values()],
             ),
         }
@@ -147,8 +152,8 @@ def price_days(bars: DataFrame, tolerance: int = TOLERANCE_DAYS) -> DataFrame:
         F.struct(*[F.col(f"here.{x}") for x in ("n", "n_ret", "s1", "s2", "broken")]).alias("next"),
         F.when(on_bar, F.col("here")).otherwise(F.col("before")).alias("last"),
     )
-    days = sliding_max(days, "t", "bar_close", LOOKBACK_DAYS + 1, "recent_high")
-    axis = Window.partitionBy("ticker").orderBy("t")
+    days = block_maxima(days, "t", "bar_close", LOOKBACK_DAYS + 1)
+    axis = Window.partitionBy("ticker").orderBy("_block", "t")
     ahead = axis.rowsBetween(0, HISTORY_AHEAD_DAYS - 1)
     c = F.col
     # First bar of the look-back; its own return lies outside of it.
@@ -157,6 +162,7 @@ def price_days(bars: DataFrame, tolerance: int = TOLERANCE_DAYS) -> DataFrame:
             **{f"exit_{h}": F.lead("entry", n).over(axis) for h, n in HORIZONS.items()},
             "first": F.lag("next", LOOKBACK_DAYS).over(axis),
             "last_ahead": F.max("last.n").over(ahead),
+            "recent_high": sliding_max(axis, LOOKBACK_DAYS + 1),
         }
     )
 

@@ -28,8 +28,3 @@ def write_panel(panel: DataFrame, path: str) -> None:
         .partitionBy("fiscal_year")
         .parquet(path)
     )
-
-
-def write_bucketed(df: DataFrame, table: str, key: str, buckets: int) -> None:
-    """Bucketed and sorted table, so later joins and windows on ``key`` need no shuffle."""
-    df.write.mode("overwrite").bucketBy(buckets, key).sortBy(key).saveAsTable(table)

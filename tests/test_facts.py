@@ -180,3 +180,17 @@ def test_newest_filings_prune_before_the_shuffle(spark):
 def test_schemas_parse():
     for ddl in (schemas.FACTS_LONG, schemas.PRICES, schemas.QUOTES):
         assert len(schemas.struct_type(ddl)) >= 4
+
+
+def test_landed_files(spark, tmp_path):
+    doc = {"facts": {"us-gaap": {"Assets": {"units": {"USD": [entry(3)]}}}}}
+    (tmp_path / "CIK0000000012.json").write_text(json.dumps(doc, indent=2))
+    docs = landed.read_documents(spark, str(tmp_path / "CIK*.json"))
+    named = docs.select(landed.cik_from_path(F.col("path")).alias("cik"), "doc")
+    rows = landed.explode_facts(named).collect()
+    assert [(r["cik"], r["concept"], r["val"], r["pos"]) for r in rows] == [(12, "Assets", 3.0, 0)]
+    (tmp_path / "table.json").write_text('[{"cik": 1, "v": 2.5},\n {"cik": 2}]')
+    back = landed.read_json_table(spark, str(tmp_path / "table.json"), "cik bigint, v double")
+    assert sorted(map(tuple, back.collect())) == [(1, 2.5), (2, None)]
+    assert landed.first_rows(back, 1, "cik").collect()[0]["cik"] == 1
+    assert landed.first_rows(back, None).count() == 2

@@ -109,3 +109,20 @@ def test_filed_within_and_daily_counts(spark):
     assert [r["cik"] for r in near.collect()] == [3]
     days = {(str(r["day"]), r["form"]): r["filings"] for r in refresh.daily_counts(filings).collect()}
     assert days == {("2024-01-01", "10-K"): 2, ("2024-01-05", "10-Q"): 1}
+
+
+def test_notice_beyond_the_watermark_is_dropped(spark, tmp_path):
+    src, changes, ckpt = (str(tmp_path / x) for x in ("src", "changes", "ckpt"))
+    schema = "cik bigint, form string, filed_ts timestamp"
+    facts = spark.createDataFrame(
+        [(k, "us-gaap", "Assets", "USD", True, "10-K", 2023, "FY", dt.date(2023, 12, 31), dt.date(2024, 1, 1), 1.0, None, 0)
+         for k in (1, 2, 3)], schemas.FACTS_LONG,
+    )
+    for rows in (
+        [(1, "10-K", dt.datetime(2024, 3, 1))],
+        [(2, "10-K", dt.datetime(2024, 1, 1)), (3, "10-K", dt.datetime(2024, 2, 27))],
+    ):
+        spark.createDataFrame(rows, schema).write.mode("append").parquet(src)
+        stream = spark.readStream.schema(schema).parquet(src)
+        refresh.start_refresh(stream, lambda s: facts, changes, ckpt).awaitTermination()
+    assert sorted(r["cik"] for r in spark.read.parquet(changes).collect()) == [1, 3]

@@ -845,7 +845,8 @@ def _(spark, d):
 
 
 def _fmt(x: str, digits: int) -> str:
-    return f"printf('%.{digits}f', {o.rnd(x, digits)})"
+    """Exact decimal text; zero never carries a sign."""
+    return f"replace(printf('%.{digits}f', {x}), '-{0:.{digits}f}', '{0:.{digits}f}')"
 
 
 @register(

@@ -1,3 +1,3 @@
-from .exprs import date_rank_key, flag, nz, rnd, sd, z
+from .exprs import date_rank_key, flag, nz, rnd, rnd_exact, sd, z
 
-__all__ = ["date_rank_key", "flag", "nz", "rnd", "sd", "z"]
+__all__ = ["date_rank_key", "flag", "nz", "rnd", "rnd_exact", "sd", "z"]

@@ -48,6 +48,31 @@ def rnd(c: ColumnLike, digits: int = 4) -> Column:
     return F.rint(_col(c) * scale) / scale + F.lit(0.0)
 
 
+def rnd_exact(c: ColumnLike, digits: int) -> Column:
+    """Round the exact binary value, as decimal text formatting does.
+
+    ``rnd`` can be off where ``x * 10**digits`` itself rounds onto a tie (2.675
+    to two digits).  That matters for showing numbers that were already
+    rounded, so here the rounding error of the product is recovered by
+    splitting x into two halves and decides such cases.  Refer to plain
+    columns only: the argument appears several times.
+    """
+    x = _col(c)
+    scale = F.lit(float(10**digits))
+    shifted = x * F.lit(134217729.0)  # 2**27 + 1
+    high = shifted - (shifted - x)
+    product = x * scale
+    error = (high * scale - product) + (x - high) * scale
+    whole = F.rint(product)
+    rest = product - whole
+    step = (
+        F.when((rest == 0.5) & (error > 0), 1.0)
+        .when((rest == -0.5) & (error < 0), -1.0)
+        .otherwise(0.0)
+    )
+    return (whole + step) / scale + F.lit(0.0)
+
+
 def flag(cond: Column) -> Column:
     """A predicate that is never null."""
     return F.coalesce(cond, F.lit(False))

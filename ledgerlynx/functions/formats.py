@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .exprs import ColumnLike, _col, rnd
+from .exprs import ColumnLike, _col, rnd_exact
 
 NOT_AVAILABLE = "N/A"
 
 
 def fixed(c: ColumnLike, digits: int) -> Column:
     """Fixed number of decimals, without thousands separators."""
-    return F.format_string(f"%.{digits}f", rnd(c, digits))
+    return F.format_string(f"%.{digits}f", rnd_exact(c, digits))
 
 
 def _or_na(c: Column, text: Column) -> Column:

@@ -6,17 +6,17 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.ml.classification import GBTClassifier
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import rnd, sd
 from ..session import materialise
 from .features import EXTENDED_COLUMNS, FLAG_COLUMNS, YOY_COLUMNS
-from .ordered import quantiles_of_counts, running_before
+from .ordered import exact_quantiles, quantiles_of_counts, running_before
 from .prices import PRICE_FEATURES
 from .stats import long_form, winsorise
 
@@ -219,6 +219,19 @@ def _imputed(rows: DataFrame, medians: dict[str, float], features: Sequence[str]
     )
 
 
+def _vectors(rows: DataFrame, features: Sequence[str]) -> DataFrame:
+    return VectorAssembler(inputCols=list(features), outputCol="features").transform(rows)
+
+
+def _importance_rows(
+    spark: SparkSession, year: int | None, features: Sequence[str], fitted: GBTClassificationModel
+) -> DataFrame:
+    return spark.createDataFrame(
+        [(year, f, float(v)) for f, v in zip(features, fitted.featureImportances.toArray())],
+        "test_year int, feature string, importance double",
+    )
+
+
 def walk_forward(
     rows: DataFrame,
     label: str,
@@ -241,12 +254,11 @@ def walk_forward(
     medians: dict[int, dict[str, float]] = {}
     for r in train_medians(frozen, years, feats).collect():
         medians.setdefault(r["test_year"], {})[r["feature"]] = r["median"]
-    assembler = VectorAssembler(inputCols=feats, outputCol="features")
     predictions, importances = [], []
     for year in years:
         seen = frozen.where(c("fiscal_year") <= year)
         data = materialise(
-            assembler.transform(_imputed(seen, medians.get(year, {}), feats)).select(
+            _vectors(_imputed(seen, medians.get(year, {}), feats), feats).select(
                 "cik",
                 "fiscal_year",
                 "features",
@@ -270,18 +282,60 @@ def walk_forward(
                 c("prediction").alias("predicted_return"),
             )
         )
-        spark = rows.sparkSession
-        importances.append(
-            spark.createDataFrame(
-                [(year, f, float(v)) for f, v in zip(feats, clf.featureImportances.toArray())],
-                "test_year int, feature string, importance double",
-            )
-        )
+        importances.append(_importance_rows(rows.sparkSession, year, feats, clf))
     return WalkForward(
         reduce(DataFrame.unionByName, predictions), reduce(DataFrame.unionByName, importances)
     )
 
 
+@dataclass(frozen=True)
+class FinalModel:
+    """Classifier fitted on all labelled rows, with what it needs to score others."""
+
+    features: Sequence[str]
+    medians: dict[str, float]
+    classifier: GBTClassificationModel
+
+    def score(self, rows: DataFrame) -> DataFrame:
+        """(cik, fiscal_year, proba) for any panel rows, one company or all."""
+        data = _vectors(_imputed(rows, self.medians, self.features), self.features)
+        scored = self.classifier.transform(data.select("cik", "fiscal_year", "features"))
+        return scored.select(
+            "cik", "fiscal_year", vector_to_array("probability")[1].alias("proba")
+        )
+
+    def importances(self, spark: SparkSession) -> DataFrame:
+        return _importance_rows(spark, None, self.features, self.classifier)
+
+
+def fit_final(
+    rows: DataFrame,
+    beat: str,
+    features: Sequence[str] | None = None,
+    params: TreeParams | None = None,
+) -> FinalModel:
+    """Fit on every row of :func:`prepare`, medians over all of them."""
+    p = params or TreeParams()
+    feats = list(features or present_features(rows))
+    medians = {
+        r["feature"]: r["quantile"]
+        for r in exact_quantiles(long_form(rows, feats), "value", [0.5], ["feature"]).collect()
+    }
+    labelled = _vectors(_imputed(rows, medians, feats), feats).select(
+        "features", F.coalesce(c(beat).cast("double"), F.lit(0.0)).alias("beat")
+    )
+    data = materialise(labelled, "final")
+    return FinalModel(feats, medians, GBTClassifier(labelCol="beat", **p.kwargs()).fit(data))
+
+
+def importance_by_horizon(importances: dict[str, DataFrame], n: int = 15) -> DataFrame:
+    """The n most important features of each horizon, stacked."""
+    parts = [
+        mean_importance(table, n).withColumn("horizon", F.lit(h)) for h, table in importances.items()
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def mean_importance(importances: DataFrame, n: int = 20) -> DataFrame:
     return (
         importances.groupBy("feature")

@@ -249,9 +249,9 @@ def attach_prices(
 ) -> DataFrame:
     """Forward returns, benchmark labels and backward features per filing.
 
-    Reference behaviour: the entry price exists only together with a 12-month
-    exit, and the backward features depend on it.  ``pit_strict`` always uses
-    the as-of entry instead, so young filings keep their features.
+    By default the entry price exists only together with a 12-month exit, and
+    the backward features depend on it.  ``pit_strict`` always uses the as-of
+    entry instead, so young filings keep their features.
     """
     # The benchmark is one row per calendar day (about 36,500 in a century),
     # whatever the number of companies: small enough to broadcast.

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from conftest import rows_by
 from ledgerlynx import schemas
+from ledgerlynx.functions import rnd_exact
 from ledgerlynx.operators import features, scoring, signals, value
 from ledgerlynx.schemas import align_schema
 
@@ -159,3 +160,56 @@ def test_align_schema(spark):
     df = spark.createDataFrame([("12.5",), ("n/a",), (None,)], "market_cap string")
     out = align_schema(df, {"market_cap": ("double", None), "net_net_flag": ("boolean", False)})
     assert [tuple(r) for r in out.collect()] == [(12.5, False), (None, False), (None, False)]
+
+
+def test_exact_thresholds_do_not_flag(spark):
+    cols = ["cik", *schemas.SNAPSHOT_FIELDS, "market_cap"]
+    def row(cik, **kw):
+        return tuple({"cik": cik, **kw}.get(x) for x in cols)
+    df = spark.createDataFrame(
+        [row(1, net_income=5.0, total_assets=100.0), row(2, net_income=4.0, operating_cash_flow=3.0),
+         row(3, revenue=365.0, receivables=90.0), row(4, revenue=4.0, receivables=1.0),
+         row(5, revenue=2.99 * 64, total_assets=64.0, retained_earnings=0.0, operating_income=0.0),
+         row(6, net_income=10.0, operating_income=7.0)],
+        "cik bigint, " + ", ".join(f"{x} double" for x in cols[1:]),
+    )
+    out = signals.accounting_columns()
+    r = rows_by(df.select("cik", *[e.alias(n) for n, e in out.items()]), "cik")
+    assert r[1]["accruals_ratio"] == 0.05 and not r[1]["accruals_flag"]
+    assert r[2]["cfd_ratio"] == 0.25 and not r[2]["cfd_flag"]
+    assert r[3]["dso"] == 90.0 and not r[3]["revenue_quality_flag"]
+    assert r[4]["ar_ratio"] == 0.25 and r[4]["revenue_quality_flag"]  # 91 days
+    assert r[5]["altman_score"] == 2.99 and r[5]["altman_zone"] == "grey"
+    assert r[6]["non_op_ratio"] == 0.3 and not r[6]["earnings_quality_flag"]
+
+
+def test_scores_stay_in_range(spark):
+    import __spark_entry__ as entry
+
+    report = entry.queries()["composite"](spark, "/root/testdata/sf0.01")
+    low, high, missing = report.selectExpr(
+        "min(fraud_score)", "max(fraud_score)", "count_if(fraud_score IS NULL)"
+    ).first()
+    assert 0 <= low <= high <= 100 and missing == 0
+
+
+def test_console_lines_pad_but_do_not_cut(spark):
+    df = spark.createDataFrame(
+        [(1, "LONGTICKER", "INSUFFICIENT DATA", None, None, 2.675, 0, "N" * 50)],
+        "cik int, ticker string, risk string, fraud_score double, beneish_score double, "
+        "altman_score double, red_flags_count int, name string",
+    )
+    line = scoring.console_lines(df).first()["line"]
+    assert line == f"LONGTICKER INSUFFICIENT DATA {'N/A':>6} {'N/A':>8} {'2.67':>8} {'0':>6}  {'N' * 35}"
+
+
+@pytest.mark.parametrize("digits", [0, 1, 2, 4])
+def test_exact_rounding_equals_decimal_text(spark, digits):
+    import random
+
+    rng = random.Random(digits)
+    values = [rng.randrange(-10**7, 10**7) / 10 ** (digits + 1) for _ in range(4000)]
+    values += [rng.uniform(-1e6, 1e6) for _ in range(1000)] + [2.675, 0.125, 1.005, -2.5, 0.0, -0.05, 0.05]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    got = [r[0] for r in df.select(rnd_exact("v", digits)).collect()]
+    assert got == [float(f"{v:.{digits}f}") + 0.0 for v in values]

@@ -196,6 +196,11 @@ def test_walk_forward_end_to_end(spark):
     result = model.backtest(scored, "proba", 5).orderBy("fiscal_year").collect()
     assert [r["n_stocks"] for r in result] == [5, 5, 5]
     assert result[-1]["cum_benchmark"] == pytest.approx(1.02**3)
+    final = model.fit_final(prepared, "beat_sp500", params=model.TreeParams(trees=2, depth=2))
+    one = final.score(df.where("cik = 3 AND fiscal_year = 2019")).collect()
+    assert len(one) == 1 and 0 <= one[0]["proba"] <= 1
+    top = model.importance_by_horizon({"12m": fit.importances, "all": final.importances(spark)}, 1)
+    assert {(r["horizon"], r["feature"]) for r in top.collect()} == {("12m", "roe"), ("all", "roe")}
     assert len(model.FEATURES) == len(set(model.FEATURES)) == 92
 
 

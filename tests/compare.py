@@ -47,7 +47,7 @@ def canonical(df: pd.DataFrame) -> list[tuple]:
 
 
 def duck_frame(con, sql: str) -> pd.DataFrame:
-    table = con.execute(sql).to_arrow_table()
+    table = con.sql(sql).to_arrow_table()
     return pd.DataFrame({n: table.column(n).to_pylist() for n in table.column_names}, dtype=object)
 
 

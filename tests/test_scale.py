@@ -131,3 +131,21 @@ def test_no_nested_loops_and_no_python_rows(spark, name):
     plan = plan_of(entry.queries()[name](spark, SF))
     assert "NestedLoop" not in plan and "Cartesian" not in plan
     assert "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan
+
+
+def test_text_search_overrides_tagged_going_concern(spark):
+    from dataclasses import replace
+
+    from ledgerlynx.demo import tables as t
+    from ledgerlynx.operators.facts import stripped_cik
+    from ledgerlynx.plans import screening
+
+    inputs = replace(
+        t.screen_inputs(spark, SF), filing_texts=t.filing_texts(spark, SF),
+        phrase=(t.PHRASE, t.PHRASE_START, t.PHRASE_END),
+    )
+    fin = screening.enriched_financials(inputs, t.AS_OF)
+    hits = {r[0] for r in entry.queries()["phrase_search"](spark, SF).collect()}
+    rows = fin.select(stripped_cik(F.col("cik")), "going_concern", "auditor_name").collect()
+    assert rows and all(gc == (cik in hits) for cik, gc, _ in rows)
+    assert any(name for *_, name in rows)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, mixing, quality, urls
+from . import langid, mixing, packing, quality, tokens, urls
 from .common import fold, table
 
 URL_RULES = (
@@ -30,6 +30,10 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "score", "predicted")
 
 
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
 def op5_url_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
@@ -48,10 +52,17 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lengths = tokens.token_lengths(table(spark, sf_dir, "documents"))
+    return tokens.suffix_sums(tokens.length_histogram(lengths))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
+    "op3_packing": op3_packing,
     "op5_url_verdicts": op5_url_verdicts,
     "op7_mixing": op7_mixing,
     "op9_language_id": op9_language_id,
+    "op10_token_counts": op10_token_counts,
 }
 ORACLES: dict[str, str] = {}

@@ -17,11 +17,36 @@ from dataclasses import dataclass
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import HashingTF
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import share_of
 
+# A small table of labelled hosts; each is tried with every path below.
+BLOCKED_HOSTS = (
+    "casino-online.com casinoroyal.net vegas-casino.org mega-casino.net casino-slots.com "
+    "bets-today.com sportsbets.net freebets-club.com best-bets.org poker-win.net win-jackpot.com "
+    "lottery-win.org slots-free.net free-spins.org pills-shop.net cheappills.org cheap-meds.com "
+    "diet-pills.com online-pharma.net cheap-viagra.org adult-video.com adultchat.net adult-cams.org "
+    "xxx-tube.com x-rated.net hot-adult.com spamlinks.net spam-mail.org link-farm.com linkfarm.net "
+    "content-farm.org ads-server.net adtrack.com tracker-ads.org track-pixel.net clickads.com "
+    "popup-ads.net payday-loans.com quick-loans.net replica-watch.org cheap-replica.com "
+    "warez-crack.net cracked-keys.org phish-login.com fake-bank.net"
+).split()
+ALLOWED_HOSTS = (
+    "library.org museum.net university.com school.org science.net history.org weather.com "
+    "gardening.net cooking.com recipes.org travel.com railway.net theatre.org orchestra.com "
+    "football.net chess.org hospital.org medicine.com parliament.net council.org courthouse.com "
+    "archive.org encyclopedia.net dictionary.com journal.org newspaper.com radio.net television.com "
+    "engineering.org software.net hardware.com mathematics.org physics.net chemistry.com biology.org "
+    "architecture.net painting.com photography.org literature.net poetry.com translation.org "
+    "mountains.net rivers.com oceans.org forests.net islands.com villages.org harbours.net "
+    "the-herald.com north-station.org inn-thornton.net heather-estate.com then-and-there.org "
+    "thatched-roof.net ringing-bells.com other-nations.org"
+).split()
+SEED_PREFIXES = ("", "www.", "blog.", "m.")
+SEED_PATHS = ("/", "/en/1024", "/de/733/", "/fr/58.html", "/es/4106", "/2024/05/article.html")
+
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -89,6 +114,16 @@ def _features(df: DataFrame, params: UrlModelParams) -> DataFrame:
     return tf.transform(df.withColumn("_grams", grams))
 
 
+def seed_urls(spark: SparkSession) -> DataFrame:
+    """The small labelled table the model learns from by default: host, path, verdict."""
+    hosts = [(h, v) for hs, v in ((BLOCKED_HOSTS, "block"), (ALLOWED_HOSTS, "allow")) for h in hs]
+    base = spark.createDataFrame(hosts, "_host string, verdict string")
+    prefix = F.explode(F.array(*[F.lit(p) for p in SEED_PREFIXES]))
+    path = F.explode(F.array(*[F.lit(p) for p in SEED_PATHS]))
+    named = base.select("verdict", "_host", prefix.alias("_prefix"))
+    return named.select(F.concat("_prefix", "_host").alias("host"), path.alias("path"), "verdict")
+
+
 def fit_urls(labelled: DataFrame, params: UrlModelParams = UrlModelParams()):
     """Fit on distinct (host, path, verdict) rows; returns a model or the only verdict.
 
@@ -127,8 +162,8 @@ def judge_urls(
 ) -> DataFrame:
     """One row per page: key, host, path, rule, verdict and the model's ``score`` for block.
 
-    ``labelled`` (host, path, verdict) trains the model; without it, the urls that a
-    rule decides are the labelled ones.  Other columns of ``pages`` are not read.
+    ``labelled`` (host, path, verdict) trains the model; by default a small built-in
+    table does.  Other columns of ``pages`` are not read.
     """
     host, path = host_and_path(F.col("_url"))
     rule, verdict = longest_rule(rules, F.col("host"), F.col("path"))
@@ -137,8 +172,7 @@ def judge_urls(
         .select("page_id", host.alias("host"), path.alias("path"))
         .withColumns({"rule": rule, "_ruled": verdict})
     )
-    known = labelled if labelled is not None else rows.withColumn("verdict", F.col("_ruled"))
-    model = fit_urls(known, params)
+    model = fit_urls(labelled if labelled is not None else seed_urls(pages.sparkSession), params)
     if isinstance(model, str):
         scored = rows.withColumn("score", F.lit(1.0 if model == "block" else 0.0))
     else:

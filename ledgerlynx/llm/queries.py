@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, mixing, packing, quality, tokens, urls
+from . import langid, mixing, packing, quality, tokens, urls, vector_graph, vector_search
 from .common import fold, table
 
 URL_RULES = (
@@ -30,10 +30,20 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "score", "predicted")
 
 
+def op2_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_search.nearest_neighbours(
+        table(spark, sf_dir, "embeddings"), F.col("_id") % 100 == 0
+    )
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op4_vector_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_graph.near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op5_url_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
@@ -59,7 +69,9 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
+    "op2_nearest": op2_nearest,
     "op3_packing": op3_packing,
+    "op4_vector_duplicates": op4_vector_duplicates,
     "op5_url_verdicts": op5_url_verdicts,
     "op7_mixing": op7_mixing,
     "op9_language_id": op9_language_id,

@@ -6,8 +6,9 @@ the rotated dimensions are read in column blocks, and after each block a hypothe
 abandons the candidates whose partial distance shows that the whole one would exceed the
 query's bound.  Survivors get exact distances of the original vectors in double precision.
 
-The first bound of a query is its k-th distance within a bounded sample of the table, an
-upper bound of the true one.  How many lists are visited follows from the same sample: the
+The first bound of a query is its k-th distance to rows of a bounded sample in the lists it
+visits, an upper bound of the one the visit can find.  A query that still ends with fewer
+rows than it should visits every list without tests.  How many lists are visited follows from the same sample: the
 lists that hold its true neighbours, measured by brute force, at the wanted recall.
 
 Defined cases: a vector that is null, empty, zero or holds a null or non-finite number, or
@@ -39,7 +40,7 @@ class SearchParams:
     list_rows: int = 256
     chunk: int = 2_048
     block: int = 16
-    doubt: float = 2.1
+    doubt: float = 3.0
     seed: int = 23
 
 
@@ -48,6 +49,7 @@ class Index:
     rotation: np.ndarray
     centroids: np.ndarray
     sample: np.ndarray  # rotated
+    lists: np.ndarray  # of the sample
     probes: int
 
 
@@ -72,11 +74,11 @@ def fit_index(sample: np.ndarray, n: int, params: SearchParams) -> Index:
     gap[np.arange(len(asked)), np.arange(len(asked))] = np.inf
     m = min(params.k, len(x) - 1)
     if m < 1:
-        return Index(turn, centroids, x, k)
+        return Index(turn, centroids, x, own, k)
     best = np.argpartition(gap, m - 1, axis=1)[:, :m]
     needed = np.sort(place[np.arange(len(asked))[:, None], own[best]].ravel())
     probes = int(needed[int(np.ceil(params.recall * len(needed))) - 1]) + 1
-    return Index(turn, centroids, x, probes)
+    return Index(turn, centroids, x, own, probes)
 
 
 def scan(x: np.ndarray, query: np.ndarray, bound: float, params: SearchParams) -> np.ndarray:
@@ -147,11 +149,13 @@ def nearest_neighbours(
         turned = q @ x.rotation
         lists = nearest(turned, x.centroids, x.probes)
         gap = (turned**2).sum(axis=1)[:, None] + (x.sample**2).sum(axis=1) - 2 * turned @ x.sample.T
+        seen = np.zeros((len(q), len(x.centroids)), dtype=bool)
+        np.put_along_axis(seen, lists, True, 1)
+        gap[~seen[:, x.lists]] = np.inf
         # The query's own class may be in the sample and offer no other row.
         m = params.k + 1
-        if len(x.sample) < m:
-            bound = np.full(len(q), np.inf)
-        else:
+        bound = np.full(len(q), np.inf)
+        if len(x.sample) >= m:
             bound = np.sqrt(np.maximum(0, np.partition(gap, m - 1, axis=1)[:, m - 1])) + 1e-6
         return pd.DataFrame({"lists": list(lists), "bound": bound})
 
@@ -166,11 +170,10 @@ def nearest_neighbours(
     )
     asked = asked_rows.select("vec").distinct()
     asked = asked.join(classes.select("vec", "cls"), "vec")
-    asked = asked.repartition("cls").select("cls", "vec", visits("vec").alias("v"))
-    asked = asked.select("cls", "vec", "v.bound", F.explode("v.lists").alias("list"))
-    asked = asked.join(F.broadcast(sizes), "list").withColumn(
-        "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    )
+    asked = share_of(asked.select("cls", "vec"), "vector-asked")
+    visiting = asked.repartition("cls").select("cls", "vec", visits("vec").alias("v"))
+    visiting = visiting.select("cls", "vec", "v.bound", F.explode("v.lists").alias("list"))
+    everywhere = F.sequence(F.lit(0), F.lit(len(index.centroids) - 1))
     base = base.join(F.broadcast(sizes), "list").withColumn(
         "part", F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int")
     )
@@ -199,25 +202,37 @@ def nearest_neighbours(
         out.insert(1, "ids", pd.Series(ids, dtype=object))
         return out
 
-    keys = ["list", "part"]
-    found = (
-        base.select("cls", "ids", "vec", *keys)
-        .groupBy(*keys)
-        .cogroup(asked.select("cls", "vec", "bound", *keys).groupBy(*keys))
-        .applyInPandas(compare, "cls long, ids array<long>, score double")
-        .select("cls", "score", F.explode("ids").alias("vec_id"))
-    )
-    order = Window.partitionBy("cls").orderBy("score", "vec_id", "_copy")
     # A row repeated with its id stands as often in its class; both stay apart here.
     copies = Window.partitionBy("cls", "vec_id").orderBy("score")
-    best = (
-        found.withColumn("_copy", F.row_number().over(copies))
-        .withColumn("_n", F.row_number().over(order))
-        .where(F.col("_n") <= params.k + 1)
-    )
-    lists = best.groupBy("cls").agg(
-        F.sort_array(F.collect_list(F.struct("score", "vec_id", "_copy"))).alias("found")
+    order = Window.partitionBy("cls").orderBy("score", "vec_id", "_copy")
+
+    def visit(who: DataFrame) -> DataFrame:
+        dealt = who.join(F.broadcast(sizes), "list").withColumn(
+            "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+        )
+        found = (
+            base.select("cls", "ids", "vec", "list", "part")
+            .groupBy("list", "part")
+            .cogroup(dealt.select("cls", "vec", "bound", "list", "part").groupBy("list", "part"))
+            .applyInPandas(compare, "cls long, ids array<long>, score double")
+            .select("cls", "score", F.explode("ids").alias("vec_id"))
+        )
+        best = (
+            found.withColumn("_copy", F.row_number().over(copies))
+            .withColumn("_n", F.row_number().over(order))
+            .where(F.col("_n") <= params.k + 1)
+        )
+        return best.groupBy("cls").agg(
+            F.sort_array(F.collect_list(F.struct("score", "vec_id", "_copy"))).alias("found")
+        )
+
+    lists = share_of(visit(visiting), "vector-found")
+    full = lists.where(F.size("found") > params.k)
+    short = asked.join(full, "cls", "left_anti")
+    again = short.select(
+        "cls", "vec", F.lit(float("inf")).alias("bound"), F.explode(everywhere).alias("list")
     )
+    lists = full.unionByName(visit(again))
     # One copy of the query's own row goes; if it is not among them, the last one does.
     named = asked_rows.join(classes.select("vec", "cls"), "vec").join(lists, "cls")
     own = F.array_position(F.transform("found", lambda f: f["vec_id"]), F.col("id"))

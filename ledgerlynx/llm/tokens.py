@@ -9,18 +9,36 @@ count as often as they occur; an empty table gives an empty histogram.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+import re
+import unicodedata
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from functools import cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import share_of
 
-_CACHED = 400_000  # words a worker remembers; then it starts anew
+_CACHED = 600_000  # words a worker remembers; then it starts anew
 _WORD_CHARS = 64
 
+# The vocabulary's own split of lower-cased text into words, spelled out for
+# code points below U+0250, where letters and digits are these.
+_PLAIN = re.compile(
+    "'(?:s|t|re|ve|m|ll|d)|[a-zA-Zªµº\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F]+"
+    "|[0-9²³¹¼½¾]|[^ \t\n\x0B\x0C\r\x85\xA0a-zA-Zªµº\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F0-9²³¹¼½¾]+"
+)
+_BEYOND = re.compile("[\u0250-\U0010FFFF]")
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letter a byte-level vocabulary writes for each byte."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in shown]
+    return {b: chr(256 + i) for i, b in enumerate(rest)}
+
 
 def vocabulary(name: str) -> str:
     """Path of one of the public vocabulary files on this machine."""
@@ -29,11 +47,27 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+class _Known(dict):
+    """Word to its ids as bytes; a new word is asked of the vocabulary once."""
+
+    def __init__(self, model):
+        super().__init__()
+        self.tokenize, self.letters = model.tokenize, _byte_letters()
+
+    def __missing__(self, word: str) -> bytes:
+        spelled = word.encode().decode("latin-1").translate(self.letters)
+        ids = b"".join([t.id.to_bytes(4, "little") for t in self.tokenize(spelled)])
+        if len(word) <= _WORD_CHARS:
+            self[word] = ids
+        return ids
+
+
 class WordIds:
     """Ids of whole texts as little-endian 32-bit bytes, remembering single words.
 
-    The vocabulary's pre-tokens never span a blank, so blank-separated parts are encoded
-    on their own; a text that spells a special token goes to the library whole.
+    Words of a lower-cased text are encoded one by one, as the vocabulary itself does.
+    A text with code points from U+0250 on, or one that spells a special token, goes to
+    the library whole.
     """
 
     def __init__(self, path: str):
@@ -41,31 +75,29 @@ class WordIds:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.known: dict[str, bytes] = {}
+        self.known = _Known(self.tokenizer.model)
 
-    def _direct(self, texts: list[str]) -> list[bytes]:
-        import numpy as np
+    def library(self, text: str) -> bytes:
+        text = text.encode("utf-8", "replace").decode()
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
-
-    def encode(self, texts: Sequence[str]) -> Iterator[bytes]:
+    def encode(self, texts: Iterable[str]) -> Iterator[bytes]:
         for text in texts:
+            if not text.isascii():
+                if _BEYOND.search(text):
+                    yield self.library(text)
+                    continue
+                text = unicodedata.normalize("NFC", text)
             if any(s in text for s in self.special):
-                yield self._direct([text])[0]
+                yield self.library(text)
+                continue
+            if len(self.known) > _CACHED:
+                self.known.clear()
+            low = text.lower()
+            if not low.isascii() and _BEYOND.search(low):
+                yield self.library(text)
                 continue
-            words = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-            known = self.known
-            new = [w for w in set(words) if w not in known]
-            if new:
-                if len(known) > _CACHED:
-                    known.clear()
-                    new = list(set(words))
-                known.update(zip(new, self._direct(new), strict=True))
-            yield b"".join([known[w] for w in words])
-            for w in new:
-                if len(w) > _WORD_CHARS:
-                    del known[w]
+            yield b"".join(map(self.known.__getitem__, _PLAIN.findall(low)))
 
 
 @cache

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, mixing, packing, quality, tokens, urls, vector_graph, vector_search
+from . import langid, mixing, near_text, packing, quality, tokens, urls, vector_graph, vector_search
 from .common import fold, table
 
 URL_RULES = (
@@ -53,6 +53,10 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.documents.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_text.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(
         "doc_id", "text", "lang", (fold(F.col("doc_id"), 3) == 1).alias("held_out")
@@ -74,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_vector_duplicates": op4_vector_duplicates,
     "op5_url_verdicts": op5_url_verdicts,
     "op7_mixing": op7_mixing,
+    "op8_near_duplicates": op8_near_duplicates,
     "op9_language_id": op9_language_id,
     "op10_token_counts": op10_token_counts,
 }

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, mixing, near_text, packing, quality, tokens, urls, vector_graph, vector_search
+from . import langid, mixing, near_text, packing, quality, suffixes, tokens, urls, vector_graph, vector_search
 from .common import fold, table
 
 URL_RULES = (
@@ -48,6 +48,11 @@ def op5_url_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op6_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return suffixes.remove_repeats(docs, text=False)
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mix = mixing.mix_sources(table(spark, sf_dir, "documents"))
     return mix.documents.select("doc_id", "size", "source_size", "target", "taken")
@@ -77,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_packing": op3_packing,
     "op4_vector_duplicates": op4_vector_duplicates,
     "op5_url_verdicts": op5_url_verdicts,
+    "op6_repeated_bytes": op6_repeated_bytes,
     "op7_mixing": op7_mixing,
     "op8_near_duplicates": op8_near_duplicates,
     "op9_language_id": op9_language_id,

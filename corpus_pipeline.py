@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlynx.llm import packing, quality
-from ledgerlynx.llm.common import share_of, table
+from ledgerlynx.llm import mixing, near_text, packing, quality, suffixes
+from ledgerlynx.llm.common import one_of_each, share_of, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -22,6 +22,26 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return kept.where("predicted = 1").select(*COLUMNS)
 
 
+def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of every class of equal or near-equal texts: the one with the least id."""
+    docs = docs.select(*COLUMNS)
+    classes = near_text.near_duplicates(docs)
+    copies = share_of(classes.where("not kept").select("doc_id").distinct(), "copies")
+    return one_of_each(docs.join(copies, "doc_id", "left_anti"), "doc_id").select(*COLUMNS)
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the long byte strings that occur anywhere else."""
+    kept = suffixes.remove_repeats(docs.select(*COLUMNS))
+    return kept.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the targets of their sources ask for."""
+    mixed = mixing.mixed_documents(docs.select(*COLUMNS))
+    return mixed.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces of every document, placed in sequences."""
     return packing.pack_documents(docs)
@@ -29,6 +49,9 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("quality", keep_quality),
+    ("near_duplicates", keep_one_of_near_copies),
+    ("repeats", cut_repeats),
+    ("mixing", mix),
     ("packing", pack),
 ]
 

@@ -32,3 +32,17 @@ def finite(vec: Column) -> Column:
         lambda x: F.coalesce((F.abs(x.cast("double")) < F.lit(float("inf"))), F.lit(False)),
     )
     return F.coalesce(good & F.exists(vec, lambda x: x != 0), F.lit(False))
+
+
+def one_of_each(df: DataFrame, key: str) -> DataFrame:
+    """``df`` with one row for each value of ``key``; rows without a key all stay.
+
+    Only repeated keys are looked for, so rows of single keys are not sorted or grouped.
+    """
+    repeated = df.groupBy(key).count().where((F.col("count") > 1) & F.col(key).isNotNull())
+    repeated = share_of(repeated.select(key), "repeated-keys")
+    if not repeated.limit(1).count():
+        return df
+    single = df.join(repeated, key, "left_anti")
+    more = df.join(repeated, key, "left_semi").dropDuplicates([key])
+    return single.unionByName(more.select(*single.columns))

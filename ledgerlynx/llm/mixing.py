@@ -22,10 +22,10 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, share_of
+from .common import WORD, one_of_each, share_of
 
 
 @dataclass(frozen=True)
@@ -84,6 +84,11 @@ def split_quotas(quotas: np.ndarray, shards: int, seed: int) -> np.ndarray:
     return out
 
 
+def row_hash(params: MixParams) -> Column:
+    """Seeded hash of a document by which it is dealt, drawn and shuffled."""
+    return F.xxhash64(F.lit(params.seed), "doc_id", "text", "source")
+
+
 @dataclass(frozen=True)
 class Mix:
     """``documents``: one row per document; ``draws``: one row per drawn document and pass."""
@@ -105,7 +110,7 @@ def mix_sources(docs: DataFrame, params: MixParams = MixParams()) -> Mix:
         docs.select(
             F.col("doc_id"),
             F.col("source"),
-            F.xxhash64(F.lit(params.seed), "doc_id", "text", "source").alias("row_hash"),
+            row_hash(params).alias("row_hash"),
             size.alias("size"),
         ),
         "mix-rows",
@@ -239,3 +244,20 @@ def _draws(spark, taken: DataFrame, blocks: DataFrame, source_rows, params: MixP
         "shard",
         F.xxhash64(F.lit(params.seed + 2), "row_hash", "pass").alias("position"),
     )
+
+
+def mixed_documents(docs: DataFrame, params: MixParams = MixParams()) -> DataFrame:
+    """The drawn documents themselves, every column of ``docs``, in the order of the shards.
+
+    A document appears once for every pass that draws it; the one cut at its source's
+    target has its first words only, joined by blanks.
+    """
+    draws = mix_sources(docs, params).draws.select("row_hash", "words", "shard", "position")
+    keyed = one_of_each(docs.withColumn("row_hash", row_hash(params)), "row_hash")
+    drawn = keyed.join(share_of(draws, "draws"), "row_hash")
+    found = F.regexp_extract_all("text", F.lit(f"({WORD})"), F.lit(1))
+    cut = F.array_join(F.slice(found, F.lit(1), F.col("words").cast("int")), " ")
+    whole = F.regexp_count("text", F.lit(WORD)) == F.col("words")
+    drawn = drawn.withColumn("text", F.when(whole, F.col("text")).otherwise(cut))
+    ordered = drawn.repartition(params.shards, "shard").sortWithinPartitions("shard", "position")
+    return ordered.select(*docs.columns)

@@ -19,7 +19,7 @@ from functools import cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # First and last code point of each script's main blocks.
@@ -46,7 +46,7 @@ _CHARS = 1 << 19  # characters a worker scores at a time, whole texts only
 
 @dataclass(frozen=True)
 class LangParams:
-    """``sample`` bounds the training documents of each language."""
+    """About ``sample`` training documents of each language are used, equal texts alike."""
 
     sample: int = 2_000
     buckets: int = 1 << 17
@@ -130,18 +130,18 @@ def _chunks(texts: list[str]) -> Iterator[tuple[int, int]]:
 
 
 def fit_languages(docs: DataFrame, params: LangParams = LangParams()) -> LangModel:
-    """Count the n-grams of up to ``params.sample`` whole texts of every language.
+    """Count the n-grams of about ``params.sample`` whole texts of every language.
 
     Reads ``text`` and ``lang``; rows without either are left out.
     """
     buckets = params.buckets
-    order = F.xxhash64("text", "lang")
-    pick = Window.partitionBy("lang").orderBy("_order")
+    rows = docs.where("lang is not null and text is not null").select("lang", "text")
+    # One row for each language; a hash picks about ``sample`` of its documents.
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("_all"))
+    picked = F.pmod(F.xxhash64("text"), F.col("_all")) < params.sample
     chosen = (
-        docs.where("lang is not null and text is not null")
-        .select("lang", "text", order.alias("_order"))
-        .withColumn("_n", F.row_number().over(pick))
-        .where(F.col("_n") <= params.sample)
+        rows.join(F.broadcast(sizes), "lang")
+        .where(picked)
         .select("lang", "text")
         .repartition(16, F.xxhash64("text"))
     )

@@ -2,7 +2,7 @@
 
 Lengths are counted in a histogram of at most ``capacity`` entries.  Patterns of a few
 coarse lengths that nearly fill a sequence are enumerated, their repeat counts are fitted
-to the histogram by non-negative least squares, rounded and cut to what there is.  What
+to the histogram by non-negative least squares, rounded, and filled as far as pieces last.  What
 the patterns leave goes, longest first, into the sequence with the least room that takes
 it, again by counts: the plan's size depends on ``capacity`` alone.  Documents then get a
 rank among those of their length, and the plan turns (length, rank) into a place.
@@ -172,16 +172,31 @@ class Plan:
                 count = 0
 
 
+class _Stock:
+    """Pieces left of each length; finds the longest one up to a room."""
+
+    def __init__(self, histogram: dict[int, int], capacity: int):
+        self.left = [histogram.get(n, 0) for n in range(capacity + 1)]
+        self.below = [n if c else n - 1 for n, c in enumerate(self.left)]
+        self.below[0] = 0
+
+    def longest(self, room: int) -> int:
+        """The longest length in stock that is at most ``room``, else 0."""
+        found = room
+        while found and not self.left[found]:
+            found = self.below[found] if self.below[found] < found else found - 1
+        while room > found:  # shorten the way for the next search
+            room, self.below[room] = self.below[room] if self.below[room] < room else room - 1, found
+        return found
+
+
 def plan_packing(histogram: dict[int, int], params: PackParams = PackParams()) -> Plan:
     """Places for all pieces of a histogram of lengths (1 to ``capacity``)."""
     plan, width = Plan(params.capacity), -(-params.capacity // params.bins)
-    pools: dict[int, list[list[int]]] = defaultdict(list)
-    for length in sorted(histogram, reverse=True):
-        if histogram[length]:
-            pools[-(-length // width)].append([length, histogram[length]])
+    stock = _Stock(histogram, params.capacity)
     have = np.zeros(params.bins + 1)
-    for b, runs in pools.items():
-        have[b] = sum(c for _, c in runs)
+    for length, count in histogram.items():
+        have[-(-length // width)] += count
     patterns = [p for p in length_patterns(params) if all(have[b] >= p.count(b) for b in p)]
     if patterns:
         shape = np.zeros((params.bins + 1, len(patterns)))
@@ -190,50 +205,39 @@ def plan_packing(histogram: dict[int, int], params: PackParams = PackParams()) -
                 shape[b, j] += 1
         scale = have.max()
         fitted = np.rint(fit_counts(shape, have / scale) * scale).astype(np.int64)
-        for j in np.argsort(-fitted, kind="stable"):
-            p = patterns[j]
-            times = int(min(fitted[j], min(have[b] // p.count(b) for b in p)))
-            if times > 0:
-                _repeat(plan, pools, p, times)
-                for b in p:
-                    have[b] -= times
-    for b in sorted(pools, reverse=True):
-        for length, count in pools[b]:
-            if count:
-                plan.best_fit(length, count)
+        # Patterns of long pieces first: what they lack, shorter ones can still fill.
+        for j in sorted(np.flatnonzero(fitted > 0), key=lambda j: patterns[j], reverse=True):
+            _repeat(plan, stock, patterns[j], int(fitted[j]), width)
+    for length in range(params.capacity, 0, -1):
+        if stock.left[length]:
+            plan.best_fit(length, stock.left[length])
     return plan
 
 
-def _draw(runs: list[list[int]], n: int) -> list[tuple[int, int]]:
-    """The ``n`` longest pieces of a pool, as (length, count)."""
-    out = []
-    for run in runs:
-        take = min(run[1], n)
-        if take:
-            out.append((run[0], take))
-            run[1] -= take
-            n -= take
-        if not n:
-            break
-    return out
-
+def _repeat(plan: Plan, stock: _Stock, pattern: tuple[int, ...], times: int, width: int) -> None:
+    """Fill a pattern with the longest pieces of its bins; the last takes what fits best.
 
-def _repeat(plan: Plan, pools: dict[int, list[list[int]]], pattern: tuple[int, ...], n: int) -> None:
-    slots = [_draw(pools[b], n) for b in pattern]
-    ends = sorted({int(e) for s in slots for e in np.cumsum([c for _, c in s])})
-    done = 0
-    for end in ends:
-        times, base, offset = end - done, plan.open(end - done), 0
-        for s in slots:
-            length = s[0][0]
-            plan.put(length, times, base, 1, offset)
-            offset += length
-            if s[0][1] == times:
-                s.pop(0)
-            else:
-                s[0] = (length, s[0][1] - times)
-        plan.room[plan.capacity - offset].append((base, times))
-        done = end
+    Stops early when a bin has run out; the pieces that are left are packed later.
+    """
+    while times > 0:
+        room, lengths = plan.capacity, []
+        for k, b in enumerate(pattern):
+            limit = room if k == len(pattern) - 1 else min(room, b * width)
+            length = stock.longest(limit)
+            while length and lengths.count(length) >= stock.left[length]:
+                length = stock.longest(length - 1)
+            if length <= (b - 1) * width:
+                return
+            lengths.append(length)
+            room -= length
+        now = min(times, *[stock.left[n] // lengths.count(n) for n in lengths])
+        base, offset = plan.open(now), 0
+        for n in lengths:
+            plan.put(n, now, base, 1, offset)
+            stock.left[n] -= now
+            offset += n
+        plan.room[room].append((base, now))
+        times -= now
 
 
 def place_ranks(pieces: DataFrame, histogram: dict[int, int], keys: list[str]) -> DataFrame:

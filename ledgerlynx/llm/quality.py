@@ -147,8 +147,8 @@ def class_prior(held_p: np.ndarray, held_u: np.ndarray) -> float:
     cuts = np.unique(held_p)
     q_p = 1 - np.searchsorted(np.sort(held_p), cuts) / len(held_p)
     q_u = 1 - np.searchsorted(np.sort(held_u), cuts) / len(held_u)
-    slack = np.sqrt(np.log(20) / 2) * (len(held_u) ** -0.5 + len(held_p) ** -0.5)
-    best = np.argmin((q_u + 0.2 * slack) / q_p)
+    slack = np.sqrt(np.log(40) / 2) * (len(held_u) ** -0.5 + len(held_p) ** -0.5)
+    best = np.argmin((q_u + slack) / q_p)
     return float(np.clip(q_u[best] / q_p[best], 0.02, 0.98))
 
 

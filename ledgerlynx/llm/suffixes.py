@@ -368,18 +368,12 @@ def _wide_masks(contexts: DataFrame, params: RepeatParams) -> DataFrame:
     return found.groupBy("core", "unit").agg(F.bit_or(bit).alias("mask"))
 
 
-@dataclass(frozen=True)
-class Repeats:
-    """``docs`` with ``tid``, and by ``tid`` the repeated starts as (spot, part, mask)."""
-
-    docs: DataFrame
-    starts: DataFrame
+def find_repeats(docs: DataFrame, params: RepeatParams = RepeatParams()) -> DataFrame:
+    """(tid, starts): windows of a text that start anywhere else too; reads ``text`` only.
 
-
-def find_repeats(docs: DataFrame, params: RepeatParams = RepeatParams()) -> Repeats:
-    """Windows of the texts of ``docs`` that start anywhere else too; reads ``text`` only."""
-    docs = _text_id(docs)
-    texts = docs.where("text is not null").select("tid", "text")
+    ``tid`` is the text's digest; a start is (spot, least, most, mask), as units have them.
+    """
+    texts = _text_id(docs.where("text is not null").select("text"))
     grams = share_of(_grams(texts, params), "grams")
     twice = grams.groupBy("fp").agg(F.sum("n").alias("n")).where("n > 1").select("fp")
     known = grams.select("tid", "fp").join(share_of(twice, "repeated-grams"), "fp")
@@ -419,7 +413,7 @@ def find_repeats(docs: DataFrame, params: RepeatParams = RepeatParams()) -> Repe
     hits = units.join(judged, ["core", "unit"])
     start = F.struct("spot", "least", "most", "mask")
     starts = hits.groupBy("tid").agg(F.collect_set(start).alias("starts"))
-    return Repeats(docs, share_of(starts, "repeats"))
+    return share_of(starts, "repeats")
 
 
 def _covered(n: int, starts: list[dict], params: RepeatParams) -> list[tuple[int, int]]:
@@ -451,11 +445,10 @@ def remove_repeats(
     """
     added = ("n_bytes", "n_removed", "n_spans", "kept_sha256")
     passed = [c for c in docs.columns if c != "text" and c not in added]
-    found = find_repeats(docs, params)
-    joined = found.docs.join(found.starts, "tid", "left").select(*passed, "text", "starts")
-    schema = docs.select(*passed).schema
+    rows = docs.select(F.struct(*passed).alias("row"), "text")
+    joined = _text_id(rows).join(find_repeats(docs, params), "tid", "left")
     extra = "n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-    kind = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in schema], extra])
+    kind = f"row {rows.schema['row'].dataType.simpleString()}, {extra}"
     kind += ", text string" if text else ""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -476,13 +469,14 @@ def remove_repeats(
                 digest.append(hashlib.sha256(left).hexdigest())
                 if text:
                     kept.append(left.decode("utf-8", "ignore") if valid else None)
-            columns = [batch.column(c) for c in passed]
+            columns = [batch.column("row")]
             columns += [pa.array(x, pa.int64()) for x in (total, gone, spans)]
             columns.append(pa.array(digest, pa.string()))
-            names = [*passed, *added]
+            names = ["row", *added]
             if text:
                 columns.append(pa.array(kept, pa.string()))
                 names.append("text")
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return joined.mapInArrow(run, kind)
+    kept = joined.select("row", "text", "starts").mapInArrow(run, kind)
+    return kept.select("row.*", *added, *(["text"] if text else []))

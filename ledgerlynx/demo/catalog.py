@@ -131,7 +131,7 @@ def _(spark, d):
             F.lit('","T'), c("s_nationkey").cast("string"), F.lit('","'), c("n_name"), F.lit('"]]}'),
         ).alias("doc")
     )
-    return landed.explode_directory(docs)
+    return landed.explode_directory(docs).drop("pos")
 
 
 @register(

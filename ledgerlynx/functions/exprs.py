@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 ColumnLike = Column | str
 
 #: Bits reserved for the position part of :func:`date_rank_key`.
-_POSITION_BITS = 47
-_NO_DATE = -32768
+_POSITION_BITS = 41
+_NO_DATE = -(1 << 22)
 
 
 def _col(c: ColumnLike) -> Column:
@@ -85,7 +85,7 @@ def date_rank_key(date: ColumnLike, pos: ColumnLike, later_position_wins: bool)
     based aggregate; a fixed-width key keeps the hash aggregate (and its
     map-side combine), so a company holding a third of all facts is reduced
     before the shuffle.  A missing date sorts first.  Positions must lie in
-    [0, 2**47).
+    [0, 2**41); every date from year 1 to 9999 fits the days above them.
     """
     days = F.coalesce(F.unix_date(_col(date)), F.lit(_NO_DATE)).cast("bigint")
     position = _col(pos).cast("bigint")

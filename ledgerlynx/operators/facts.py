@@ -100,6 +100,17 @@ def plain_accession(c: Column) -> Column:
     return F.replace(c, F.lit("-"), F.lit(""))
 
 
+def newest_rows(rows: DataFrame, order: Column, key: str) -> DataFrame:
+    """The row of every ``key`` with the greatest ``order``, a BIGINT.
+
+    A text has no fixed-width buffer, so ``max_by`` of one would sort; the key alone is
+    hash aggregated and joined back.  ``order`` must differ among the rows of a key.
+    """
+    keyed = rows.withColumn("_order", order)
+    best = keyed.groupBy(key).agg(F.max("_order").alias("_order"))
+    return keyed.join(best, [key, "_order"], "left_semi").drop("_order")
+
+
 # -- current snapshot ---------------------------------------------------------
 
 
@@ -176,12 +187,9 @@ def latest_auditor(facts: DataFrame) -> DataFrame:
         & (F.col("unit") == "")
         & F.col("form").isin(*ANNUAL_FORMS)
     )
-    # A text value has no fixed-width buffer; the rows are one per filing.
-    return rows.groupBy("cik").agg(
-        F.max_by("val_text", date_rank_key("end", "pos", later_position_wins=True)).alias(
-            "auditor_name"
-        )
-    )
+    return newest_rows(
+        rows, date_rank_key("end", "pos", later_position_wins=True), "cik"
+    ).select("cik", F.col("val_text").alias("auditor_name"))
 
 
 # -- annual panel -------------------------------------------------------------

@@ -15,19 +15,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
-from operator import add, and_, or_
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialise
 
-#: Groups of at least this many rows are bracketed by a sketch first.
-SKETCH_FROM = 5_000_000
-SKETCH_ACCURACY = 10_000
-#: Beyond this many groups their brackets are not broadcast.
-SKETCH_GROUPS = 1_000
-
 _PART = "_part"
 _GROUP = "_group"
 
@@ -113,73 +107,19 @@ def ordinal_ranks(df: DataFrame, key: str, values: dict[str, str]) -> DataFrame:
 
 
 def exact_quantiles(
-    df: DataFrame,
-    value: str,
-    probs: Sequence[float],
-    groups: Sequence[str] = (),
-    sketch_from: int = SKETCH_FROM,
+    df: DataFrame, value: str, probs: Sequence[float], groups: Sequence[str] = ()
 ) -> DataFrame:
     """Exact linearly interpolated quantiles: rows (groups..., prob, quantile).
 
-    Equal values are combined on the map side, the distinct ones are sorted.
-    For large groups a sketch first brackets every wanted position, and only
-    the values inside a bracket keep their identity; the rest are counted.
-    ``df`` is read twice or three times: hand in a stored table.
+    Equal values are combined on the map side, the distinct ones are sorted by range, and
+    only the ranges that hold a wanted position are looked at row by row.
     """
     groups = list(groups)
     rows = df.where(F.col(value).isNotNull()).select(*groups, F.col(value).cast("double").alias("_v"))
-    sketched = _sketched_quantiles(rows, probs, groups, sketch_from)
-    if sketched is not None:
-        return sketched
     counts = rows.groupBy(*groups, "_v").agg(F.count(F.lit(1)).alias("_n"))
     return quantiles_of_counts(counts, "_v", "_n", probs, groups)
 
 
-def _sketched_quantiles(
-    rows: DataFrame, probs: Sequence[float], groups: Sequence[str], sketch_from: int
-) -> DataFrame | None:
-    """Quantiles via brackets, or None when the plain way is due.
-
-    That is: few rows, too many groups to broadcast their brackets, or a wanted
-    position that turned out not to lie inside its bracket.
-    """
-    margin = 2.0 / SKETCH_ACCURACY
-    asked = [edge for p in probs for edge in (max(0.0, p - margin), min(1.0, p + margin))]
-    stats = rows.groupBy(*groups).agg(
-        F.count(F.lit(1)).alias("_size"),
-        F.percentile_approx("_v", asked, SKETCH_ACCURACY).alias("_edges"),
-    )
-    seen = stats.limit(SKETCH_GROUPS + 1).collect()
-    if len(seen) > SKETCH_GROUPS or max((r["_size"] or 0 for r in seen), default=0) < sketch_from:
-        return None
-    spark = rows.sparkSession
-    # At most SKETCH_GROUPS rows.
-    brackets = F.broadcast(spark.createDataFrame(seen, stats.schema).drop("_size"))
-    on = reduce(and_, [rows[g].eqNullSafe(brackets[g]) for g in groups], F.lit(True))
-    if groups:
-        marked = rows.join(brackets, on).select(*[rows[g] for g in groups], "_v", "_edges")
-    else:
-        edges = F.array(*[F.lit(float(e)) for e in seen[0]["_edges"]])
-        marked = rows.withColumn("_edges", edges)
-    v = F.col("_v")
-    low = [F.col("_edges")[2 * i] for i in range(len(probs))]
-    high = [F.col("_edges")[2 * i + 1] for i in range(len(probs))]
-    inside = reduce(or_, [v.between(x, y) for x, y in zip(low, high)])
-    # Slots follow the order of the values: odd ones are brackets, even ones gaps.
-    slot = reduce(add, [F.when(y < v, 2).otherwise(0) for y in high]) + inside.cast("int")
-    counts = (
-        marked.select(*groups, slot.alias("_slot"), F.when(inside, v).alias("_v"))
-        .groupBy(*groups, "_slot", "_v")
-        .agg(F.count(F.lit(1)).alias("_n"))
-    )
-    order = [F.col("_slot").asc(), F.col("_v").asc()]
-    found = _neighbours(counts, "_v", "_n", probs, groups, order)
-    out = found.collect()
-    if any(r["low"] is None or (r["frac"] > 0 and r["high"] is None) for r in out):
-        return None
-    return _interpolated(spark.createDataFrame(out, found.schema), groups)
-
-
 def quantiles_of_counts(
     counts: DataFrame, value: str, count: str, probs: Sequence[float], groups: Sequence[str] = ()
 ) -> DataFrame:

@@ -6,7 +6,8 @@ row per (ticker, day); all look-backs and look-aheads are computed on it, in
 one partitioning by ticker, and filings then meet it in a single equi-join
 on (ticker, filed_date).  Filings never enter a window, so a ticker with a huge
 number of filings is an ordinary skewed join that AQE can split.  A window
-partition is one ticker's calendar: bars are unique per (ticker, date).
+partition is one ticker's calendar; bars without a close are dropped, and of several
+bars on one (ticker, date) the one with the highest close stays.
 """
 
 from __future__ import annotations
@@ -29,6 +30,9 @@ HIGH_BARS = 252
 MIN_HISTORY = 30
 MIN_RETURNS = 20
 TRADING_DAYS = 252
+#: Totals of returns and of their squares; a larger return voids the deviation.
+EXACT = "decimal(38,18)"
+MAX_RETURN = 1e7
 
 PRICE_FEATURES = [*MOMENTUM_BARS, "price_to_52w_high", "vol_prior_12m"]
 RETURN_COLUMNS = [
@@ -42,9 +46,30 @@ def price_range(bars: DataFrame, start: dt.date, end: dt.date) -> DataFrame:
     return bars.where((F.col("date") >= F.lit(start)) & (F.col("date") < F.lit(end)))
 
 
-def _with_previous(bars: DataFrame) -> DataFrame:
-    w = Window.partitionBy("ticker").orderBy("date")
-    return bars.select("ticker", "date", "close").withColumn("prev_date", F.lag("date").over(w))
+def one_bar_per_day(bars: DataFrame) -> DataFrame:
+    """(ticker, date, close, prev_date): the day's bar and the date of the one before.
+
+    The windows share the partitioning and order that the look-backs use anyway.
+    """
+    in_order = Window.partitionBy("ticker").orderBy("date", F.col("close").desc())
+    known = bars.where(F.col("close").isNotNull() & F.col("date").isNotNull())
+    marked = known.select("ticker", "date", "close", F.lag("date").over(in_order).alias("prev_date"))
+    return marked.where(F.col("prev_date").isNull() | (F.col("prev_date") < F.col("date")))
+
+
+def prune_bars(
+    bars: DataFrame, companies: DataFrame, first: dt.date, last: dt.date | None = None
+) -> DataFrame:
+    """Bars of listed tickers within the dates that filings from ``first`` to ``last`` reach.
+
+    The bounds go to the scan; the look-back and a month of margin lie before ``first``,
+    and the as-of tolerance after ``last``.
+    """
+    since = first - dt.timedelta(days=LOOKBACK_DAYS + 31)
+    near = bars.where(F.col("date") >= F.lit(since))
+    if last is not None:
+        near = near.where(F.col("date") <= F.lit(last + dt.timedelta(days=TOLERANCE_DAYS)))
+    return near.join(companies.select("ticker"), "ticker", "left_semi")
 
 
 def _spread(bars: DataFrame, first_day: Column, *carry: str) -> DataFrame:
@@ -63,7 +88,7 @@ def _spread(bars: DataFrame, first_day: Column, *carry: str) -> DataFrame:
 def asof_prices(bars: DataFrame, tolerance: int = TOLERANCE_DAYS) -> DataFrame:
     """(ticker, day, bar_date, close): the first close on or after each day."""
     first_day = F.greatest(F.date_add("prev_date", 1), F.date_sub("date", tolerance - 1))
-    return _spread(_with_previous(bars), first_day, "close")
+    return _spread(one_bar_per_day(bars), first_day, "close")
 
 
 def asof_join(queries: DataFrame, bars: DataFrame, date: str, name: str) -> DataFrame:
@@ -103,25 +128,34 @@ def sliding_max(series: WindowSpec, width: int) -> Column:
     return F.greatest(begin, F.col("_up"))
 
 
+def _total(value: Column, running: WindowSpec) -> Column:
+    exact = F.sum(value.cast(EXACT)).over(running)
+    return F.coalesce(exact, F.lit(0).cast(EXACT)).cast(EXACT)
+
+
 def price_days(bars: DataFrame, tolerance: int = TOLERANCE_DAYS) -> DataFrame:
     """Everything a filing needs to know about its ticker, per (ticker, day).
 
     ``entry`` / ``exit_12m`` / ``exit_24m`` look forward; the rest looks back
     from the day.  Bars carry running totals, the days of a ticker are dense
     until its last bar, so every look-back is a difference between
-    two rows a fixed distance apart: linear in the number of days.
+    two rows a fixed distance apart: linear in the number of days.  The totals of
+    returns are decimals, so a difference is exact and an extreme bar leaves no trace
+    in windows that do not hold it.
     """
     by_date = Window.partitionBy("ticker").orderBy("date")
     prev_close = F.lag("close").over(by_date)
-    marked = bars.select("ticker", "date", "close").withColumns(
+    marked = one_bar_per_day(bars).withColumns(
         {
-            "prev_date": F.lag("date").over(by_date),
             "bar_no": F.row_number().over(by_date),
             "ret": sd("close", prev_close) - 1,
             # A rise from zero has no finite return; it voids the deviation.
-            "broken": ((prev_close == 0) & (F.col("close") != 0)).cast("int"),
+            "broken": (prev_close == 0) & (F.col("close") != 0),
         }
     )
+    marked = marked.withColumn(
+        "broken", (F.col("broken") | (F.abs("ret") > MAX_RETURN)).cast("int")
+    ).withColumn("ret", F.when(F.abs("ret") <= MAX_RETURN, F.col("ret")))
     marked = block_maxima(marked, "bar_no", "close", HIGH_BARS)
     per_bar = Window.partitionBy("ticker").orderBy("_block", "bar_no")
     running = per_bar.rowsBetween(Window.unboundedPreceding, 0)
@@ -131,8 +165,8 @@ def price_days(bars: DataFrame, tolerance: int = TOLERANCE_DAYS) -> DataFrame:
             "here": F.struct(
                 F.col("bar_no").alias("n"),
                 F.count("ret").over(running).alias("n_ret"),
-                F.coalesce(F.sum("ret").over(running), F.lit(0.0)).alias("s1"),
-                F.coalesce(F.sum(F.col("ret") * F.col("ret")).over(running), F.lit(0.0)).alias("s2"),
+                _total(F.col("ret"), running).alias("s1"),
+                _total(F.col("ret") * F.col("ret"), running).alias("s2"),
                 F.coalesce(F.sum("broken").over(running), F.lit(0)).alias("broken"),
                 sliding_max(per_bar, HIGH_BARS).alias("high"),
                 *[F.lag("close", n).over(per_bar).alias(f"lag_{n}") for n in MOMENTUM_BARS.values()],
@@ -167,10 +201,13 @@ def price_days(bars: DataFrame, tolerance: int = TOLERANCE_DAYS) -> DataFrame:
     )
 
     def since_first(name: str, start: float) -> Column:
-        return c(f"last.{name}") - F.coalesce(c(f"first.{name}"), F.lit(start))
+        last = c(f"last.{name}")
+        before = F.coalesce(c(f"first.{name}"), F.lit(start).cast(EXACT) if name in ("s1", "s2") else F.lit(start))
+        return last - before
 
     n_past = since_first("n", 1) + 1
-    n, s1, s2 = since_first("n_ret", 0), since_first("s1", 0.0), since_first("s2", 0.0)
+    n = since_first("n_ret", 0)
+    s1, s2 = (since_first(s, 0.0).cast("double") for s in ("s1", "s2"))
     spread = F.greatest(s2 - s1 * s1 / nz(n), F.lit(0.0)) / nz(n - 1)
     return looked.select(
         "ticker",
@@ -191,16 +228,19 @@ def price_days(bars: DataFrame, tolerance: int = TOLERANCE_DAYS) -> DataFrame:
     )
 
 
-def benchmark_days(benchmark: DataFrame) -> DataFrame:
+def benchmark_days(benchmark: DataFrame, series: str | None = None) -> DataFrame:
     """(day, benchmark_12m, benchmark_24m): unrounded benchmark return from each day.
 
     Between the first close on or after the day and the last close before
     horizon + 5 days; needs two bars and a positive start.  ``benchmark`` has
-    the shape of bars (one series).  The days before its first bar that can
-    still reach it are included.
+    the shape of bars; of several series the one named ``series`` is read, by default
+    the first by name, so there is one row per day.  The days before its first bar that
+    can still reach it are included.
     """
+    if series is not None:
+        benchmark = benchmark.where(F.col("ticker") == series)
     reach = max(HORIZONS.values()) + BENCHMARK_SLACK_DAYS - 1
-    numbered = _with_previous(benchmark).withColumn(
+    numbered = one_bar_per_day(benchmark).withColumn(
         "n", F.row_number().over(Window.partitionBy("ticker").orderBy("date"))
     )
     first_day = F.coalesce(F.date_add("prev_date", 1), F.date_sub("date", reach))
@@ -237,7 +277,13 @@ def benchmark_days(benchmark: DataFrame) -> DataFrame:
         change = (end["close"] - F.col("start")) / nz("start")
         return F.when(enough & (F.col("start") > 0), change)
 
-    return days.select("day", *[total_return(h).alias(f"benchmark_{h}") for h in HORIZONS])
+    returns = days.select(
+        "ticker", "day", *[total_return(h).alias(f"benchmark_{h}") for h in HORIZONS]
+    )
+    # One row per calendar day and series.
+    names = [f"benchmark_{h}" for h in HORIZONS]
+    first = F.min_by(F.struct(*names), "ticker")
+    return returns.groupBy("day").agg(first.alias("b")).select("day", *[f"b.{n}" for n in names])
 
 
 def attach_prices(
@@ -253,8 +299,8 @@ def attach_prices(
     the backward features depend on it.  ``pit_strict`` always uses the as-of
     entry instead, so young filings keep their features.
     """
-    # The benchmark is one row per calendar day (about 36,500 in a century),
-    # whatever the number of companies: small enough to broadcast.
+    # The benchmark is one series, so one row per calendar day (about 36,500 in a
+    # century), whatever the number of companies: small enough to broadcast.
     joined = filings.join(
         days.withColumnRenamed("day", "filed_date"), ["ticker", "filed_date"], "left"
     ).join(F.broadcast(bench.withColumnRenamed("day", "filed_date")), "filed_date", "left")

@@ -99,9 +99,13 @@ def score_signals(signals: DataFrame) -> DataFrame:
 def magic_ranks(scored: DataFrame, key: str = "cik") -> DataFrame:
     """Ordinal ranks by earnings yield and return on capital, and their sum.
 
-    Ties are broken by ``key``.  The ranks run ``scored`` once more, so hand in
-    a stored table.
+    Ties are broken by ``key``, which must identify a row: a repeated key fails the job,
+    as its rows would share ranks.  The ranks run ``scored`` once more, so hand in a
+    stored table.
     """
+    again = scored.groupBy(key).count().where("count > 1").limit(1).collect()
+    if again:
+        raise ValueError(f"{key} {again[0][key]} occurs more than once; ranks need one row each")
     ranks = ordinal_ranks(
         scored, key, {"earnings_yield_rank": "earnings_yield", "roc_rank": "return_on_capital"}
     )

@@ -8,7 +8,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import prices
-from ..operators.facts import PANEL_FIELDS, annual_financials, annual_values
+from ..operators.facts import (
+    PANEL_FIELDS,
+    annual_financials,
+    annual_values,
+    fiscal_year_bounds,
+)
 from ..operators.features import (
     EXTENDED_COLUMNS,
     FLAG_COLUMNS,
@@ -49,11 +54,17 @@ def priced_panel(
     benchmark: DataFrame,
     as_of: dt.date,
     pit_strict: bool = False,
+    first_filed: dt.date | None = None,
 ) -> DataFrame:
-    """Add identity, returns, price features and the point-in-time market cap."""
+    """Add identity, returns, price features and the point-in-time market cap.
+
+    ``first_filed`` bounds the filing dates from below, and so the bars that are read.
+    """
     listed = companies.where(F.coalesce(F.length("ticker"), F.lit(0)) > 0).select(
         "cik", "ticker", "name", "exchange", F.col("market_cap").alias("_current_cap")
     )
+    if first_filed is not None:
+        bars = prices.prune_bars(bars, listed, first_filed, None if pit_strict else as_of)
     priced = prices.attach_prices(
         annual.join(listed, "cik"),
         prices.price_days(bars),
@@ -89,5 +100,7 @@ def build_panel(
     pit_strict: bool = False,
 ) -> DataFrame:
     annual = annual_panel(facts, as_of, years, floor)
-    priced = priced_panel(annual, companies, bars, benchmark, as_of, pit_strict)
+    # A fiscal year can be filed at the end of the calendar year before it.
+    first_filed = dt.date(fiscal_year_bounds(as_of, years, floor)[0] - 1, 1, 1)
+    priced = priced_panel(annual, companies, bars, benchmark, as_of, pit_strict, first_filed)
     return with_features(priced).select(*PANEL_COLUMNS)

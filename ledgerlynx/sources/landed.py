@@ -46,9 +46,11 @@ def first_rows(df: DataFrame, n: int | None, *keys: str) -> DataFrame:
 
 
 def explode_directory(docs: DataFrame, doc: str = "doc") -> DataFrame:
-    """Company directory: positional arrays to (cik, name, ticker, exchange)."""
-    rows = docs.select(F.explode(F.from_json(doc, schemas.DIRECTORY_DOCUMENT)["data"]).alias("r"))
+    """Company directory: positional arrays to (pos, cik, name, ticker, exchange)."""
+    data = F.from_json(doc, schemas.DIRECTORY_DOCUMENT)["data"]
+    rows = docs.select(F.posexplode(data).alias("pos", "r"))
     return rows.select(
+        "pos",
         F.get("r", 0).try_cast("bigint").alias("cik"),
         F.get("r", 1).alias("name"),
         F.get("r", 2).alias("ticker"),
@@ -56,6 +58,23 @@ def explode_directory(docs: DataFrame, doc: str = "doc") -> DataFrame:
     )
 
 
+def first_listings(directory: DataFrame) -> DataFrame:
+    """One row per company: the first of its listings in the directory's order.
+
+    Share classes are listed under one cik; without this a company would count twice.
+    Rows of one directory have distinct positions.
+    """
+    first = directory.groupBy("cik").agg(F.min("pos").alias("pos"))
+    return directory.join(first, ["cik", "pos"], "left_semi")
+
+
+def unreadable(docs: DataFrame, schema: str, doc: str = "doc") -> DataFrame:
+    """Documents that are no JSON object, with all their columns; readers skip these."""
+    whole = F.from_json(doc, schema, {"mode": "PERMISSIVE"})
+    fields = F.from_json(doc, "map<string,string>")
+    return docs.where(F.col(doc).isNull() | whole.isNull() | fields.isNull())
+
+
 def explode_facts(docs: DataFrame, cik: str = "cik", doc: str = "doc") -> DataFrame:
     """Facts documents to the long fact table.
 

@@ -18,6 +18,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..functions import date_rank_key
 from ..operators import facts as facts_ops
 from ..operators.enrich import upsert_snapshot
+from ..operators.facts import newest_rows
 from ..schemas import SNAPSHOT_FIELDS
 
 c = F.col
@@ -74,10 +75,7 @@ def newest_changes(changes: DataFrame) -> DataFrame:
     A late filing about an older period never replaces a newer one.
     """
     order = date_rank_key("period_end", BATCH, later_position_wins=True)
-    picked = changes.groupBy("cik").agg(
-        F.max_by(F.struct(*FIELDS), order).alias("s")
-    )
-    return picked.select("cik", "s.*")
+    return newest_rows(changes, order, "cik").select("cik", *FIELDS)
 
 
 def current_companies(

@@ -104,7 +104,14 @@ def test_submissions_zip_stops_at_shortest(spark):
 def test_directory_and_hits(spark):
     doc = json.dumps({"data": [[320193, "Apple Inc.", "AAPL", "Nasdaq"], [1, "B", None, None]]})
     got = landed.explode_directory(spark.createDataFrame([(doc,)], "doc string")).collect()
-    assert [tuple(r) for r in got] == [(320193, "Apple Inc.", "AAPL", "Nasdaq"), (1, "B", None, None)]
+    assert [tuple(r) for r in got] == [(0, 320193, "Apple Inc.", "AAPL", "Nasdaq"), (1, 1, "B", None, None)]
+    shares = json.dumps({"data": [[7, "C", "C.A", "N"], [7, "C", "C.B", "N"], [8, "D", "D", "N"]]})
+    listed = landed.explode_directory(spark.createDataFrame([(shares,)], "doc string"))
+    first = sorted((r["cik"], r["ticker"]) for r in landed.first_listings(listed).collect())
+    assert first == [(7, "C.A"), (8, "D")]
+    broken = spark.createDataFrame([(doc,), ("{not json",), (None,)], "doc string")
+    lost = landed.unreadable(broken, schemas.DIRECTORY_DOCUMENT).collect()
+    assert [r["doc"] for r in lost] == ["{not json", None]
     hit = json.dumps({"hits": {"hits": [
         {"_source": {"ciks": ["0000000012"], "entity_id": "CIK0012", "display_names": [],
                      "file_type": "10-K", "file_date": "2024-05-31"}},

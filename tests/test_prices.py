@@ -9,6 +9,7 @@ import pytest
 
 from conftest import rows_by
 from ledgerlynx.operators import market, prices
+from pyspark.sql import functions as F
 
 D0 = dt.date(2020, 1, 1)
 AS_OF = dt.date(2023, 6, 1)
@@ -123,6 +124,44 @@ def test_asof_tolerance(frames, filings):
         assert r["p"] == first_on_or_after(SERIES[r["ticker"]], r["filed_date"], 10)
 
 
+def test_repeated_bars_and_missing_closes(spark, frames, filings):
+    bars, bench = frames
+    ticker = next(iter(SERIES))
+    extra = bars.where(F.col("ticker") == ticker).withColumn("close", F.col("close") / 2)
+    holes = extra.withColumn("close", F.lit(None).cast("double"))
+    noisy = bars.unionByName(extra).unionByName(holes)
+    other = bench.withColumn("ticker", F.lit("ZZZ")).withColumn("close", F.col("close") * 7)
+    args = (prices.benchmark_days(bench), AS_OF)
+    plain = prices.attach_prices(filings, prices.price_days(bars), *args).collect()
+    args = (prices.benchmark_days(bench.unionByName(other)), AS_OF)
+    again = prices.attach_prices(filings, prices.price_days(noisy), *args).collect()
+    assert sorted(map(str, again)) == sorted(map(str, plain))
+
+
+def test_an_extreme_bar_leaves_later_windows_alone(spark):
+    start = dt.date(2015, 1, 1)
+    rng = random.Random(4)
+    closes = [100 * (1 + rng.uniform(-0.02, 0.02)) for _ in range(1_500)]
+    clean = [("X", start + dt.timedelta(days=i), v) for i, v in enumerate(closes)]
+    wild = [(t, d, v * 1e7 if i == 20 else v) for i, (t, d, v) in enumerate(clean)]
+    schema = "ticker string, date date, close double"
+    day = F.col("day") > F.lit(start + dt.timedelta(days=600))
+    a, b = (
+        {r["day"]: r["volatility"] for r in prices.price_days(spark.createDataFrame(x, schema)).where(day).collect()}
+        for x in (clean, wild)
+    )
+    assert a == b and all(v > 0 for v in a.values())
+
+
+def test_pruning_changes_nothing(spark, frames, filings):
+    bars, bench = frames
+    first = min(r["filed_date"] for r in filings.collect())
+    whole = prices.attach_prices(filings, prices.price_days(bars), prices.benchmark_days(bench), AS_OF)
+    near = prices.prune_bars(bars, filings, first, AS_OF)
+    pruned = prices.attach_prices(filings, prices.price_days(near), prices.benchmark_days(bench), AS_OF)
+    assert sorted(map(str, pruned.collect())) == sorted(map(str, whole.collect()))
+
+
 def test_as_of_never_looks_back(frames):
     days = prices.asof_prices(frames[0]).collect()
     assert len({(r["ticker"], r["day"]) for r in days}) == len(days)

@@ -59,7 +59,7 @@ def test_group_quantiles_equal_pandas(df, rows):
 
 
 @pytest.mark.parametrize("ties", [True, False])
-def test_bracketed_quantiles_equal_plain(spark, ties):
+def test_quantiles_equal_plain(spark, ties):
     n = 60_000
     v = F.rand(5) * 1000 - 300
     if ties:
@@ -68,42 +68,15 @@ def test_bracketed_quantiles_equal_plain(spark, ties):
     data = [(r["g"], r["v"]) for r in spark.range(n).select(g.alias("g"), v.alias("v")).collect()]
     df = spark.createDataFrame(data, "g string, v double")
     probs = [0.0, 0.01, 0.25, 0.3333, 0.5, 0.99, 1.0]
-    for groups in ([], ["g"]):
-        rows = df.select(*groups, F.col("v").alias("_v"))
-        sketched = ordered._sketched_quantiles(rows, probs, groups, 0)
-        assert sketched is not None
-        plain = ordered.exact_quantiles(df, "v", probs, groups, sketch_from=10**12)
-        assert sorted(map(str, sketched.collect())) == sorted(map(str, plain.collect()))
+    for group in (None, "b", "c"):
+        own = [x for g, x in data if g == group]
+        got = rows_by(ordered.exact_quantiles(df, "v", probs, ["g"]).where(F.col("g").eqNullSafe(F.lit(group))), "prob")
+        assert [got[p]["quantile"] for p in probs] == pytest.approx(list(np.quantile(own, probs)), abs=1e-9)
     want = np.quantile([x for _, x in data], probs)
-    got = rows_by(ordered.exact_quantiles(df, "v", probs, sketch_from=0), "prob")
+    got = rows_by(ordered.exact_quantiles(df, "v", probs), "prob")
     assert [got[p]["quantile"] for p in probs] == pytest.approx(list(want), abs=1e-9)
 
 
-def test_brackets_keep_only_a_sliver(spark):
-    df = spark.range(300_000).select(F.col("id").cast("double").alias("_v"))
-    seen = {}
-    original = ordered._neighbours
-
-    def spy(counts, *args):
-        seen["distinct"] = counts.count()
-        return original(counts, *args)
-
-    ordered._neighbours = spy
-    try:
-        out = ordered._sketched_quantiles(df, [0.5], [], 0)
-    finally:
-        ordered._neighbours = original
-    assert out.first()["quantile"] == 149_999.5
-    assert seen["distinct"] < 1000
-
-
-def test_many_groups_take_the_plain_way(spark):
-    df = spark.range(5000).select((F.col("id") % 2500).alias("g"), F.col("id").cast("double").alias("v"))
-    assert ordered._sketched_quantiles(df.withColumnRenamed("v", "_v"), [0.5], ["g"], 0) is None
-    q = ordered.exact_quantiles(df, "v", [0.5], ["g"])
-    assert q.count() == 2500 and q.where("quantile != g + 1250").count() == 0
-
-
 def test_quantile_of_single_and_empty(spark):
     one = spark.createDataFrame([(4.0,)], "v double")
     assert ordered.exact_quantiles(one, "v", [0.3]).first()["quantile"] == 4.0

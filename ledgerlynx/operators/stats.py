@@ -153,6 +153,21 @@ def histogram(
     )
 
 
+def group_histogram(df: DataFrame, group: str, column: str, bins: int) -> DataFrame:
+    """Equal-width counts (group, bin, count) over each group's own range."""
+    v = c(column).cast("double")
+    rows = df.where(v.isNotNull()).select(group, v.alias("v"))
+    # One row per group; null is a group as well.
+    ends = rows.groupBy(group).agg(F.min("v").alias("_lo"), F.max("v").alias("_hi"))
+    ends = ends.withColumnRenamed(group, "_group")
+    placed = rows.join(ends, rows[group].eqNullSafe(ends["_group"])).drop("_group")
+    width = (c("_hi") - c("_lo")) / F.lit(float(bins))
+    raw = F.floor(F.coalesce(sd(c("v") - c("_lo"), width), F.lit(0.0)))
+    return placed.groupBy(group, F.least(raw, F.lit(bins - 1)).cast("int").alias("bin")).agg(
+        F.count(F.lit(1)).alias("count")
+    )
+
+
 def winsor_bounds(
     df: DataFrame, columns: Sequence[str], low: float = 0.01, high: float = 0.99
 ) -> DataFrame:

@@ -658,9 +658,9 @@ def _(spark, d):
 
 @register("insider_signals", o.query("SELECT * FROM ins", "ins"))
 def _(spark, d):
-    filings = insider.newest_per_company(insider.recent_filings(t.submissions(spark, d), t.AS_OF))
-    sums = insider.filing_sums(insider.parse_transactions(t.form4_documents(spark, d)))
-    return insider.insider_signals(filings, sums)
+    return screening.insider_company_signals(
+        t.submissions(spark, d), t.form4_documents(spark, d), t.AS_OF
+    )
 
 
 # == signals and value ========================================================

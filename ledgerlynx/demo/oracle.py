@@ -6,16 +6,74 @@ plain range joins, ranks use plain windows, quantiles the built-in function.
 
 from __future__ import annotations
 
-from ..operators.facts import (
-    CONCEPT_ALIASES,
-    GOING_CONCERN_CONCEPTS,
-    PANEL_CONCEPTS,
-    SNAPSHOT_CONCEPTS,
-    SNAPSHOT_REVENUE,
-)
-from ..operators.governance import BIG4, OTHER_MAJOR
 from . import tables as t
 
+# Written out here, so that a wrong constant of the engine shows up.
+# fmt: off
+CONCEPT_ALIASES = {'revenue': ['Revenues', 'RevenueFromContractWithCustomerExcludingAssessedTax', 'SalesRevenueNet'],
+ 'net_income': ['NetIncomeLoss'],
+ 'operating_income': ['OperatingIncomeLoss'],
+ 'gross_profit': ['GrossProfit'],
+ 'tax_expense': ['IncomeTaxExpenseBenefit'],
+ 'interest_expense': ['InterestExpense', 'InterestAndDebtExpense'],
+ 'rd_expense': ['ResearchAndDevelopmentExpense'],
+ 'sga_expense': ['SellingGeneralAndAdministrativeExpense'],
+ 'total_assets': ['Assets'],
+ 'current_assets': ['AssetsCurrent'],
+ 'cash': ['CashAndCashEquivalentsAtCarryingValue'],
+ 'receivables': ['AccountsReceivableNetCurrent'],
+ 'inventory': ['InventoryNet'],
+ 'ppe_net': ['PropertyPlantAndEquipmentNet'],
+ 'total_liabilities': ['Liabilities'],
+ 'current_liabilities': ['LiabilitiesCurrent'],
+ 'long_term_debt': ['LongTermDebt', 'LongTermDebtNoncurrent'],
+ 'retained_earnings': ['RetainedEarningsAccumulatedDeficit'],
+ 'equity': ['StockholdersEquity'],
+ 'operating_cash_flow': ['NetCashProvidedByUsedInOperatingActivities'],
+ 'capex': ['PaymentsToAcquirePropertyPlantAndEquipment'],
+ 'depreciation': ['DepreciationDepletionAndAmortization', 'Depreciation'],
+ 'total_expenses': ['CostsAndExpenses'],
+ 'shares_outstanding': ['CommonStockSharesOutstanding'],
+ 'eps_basic': ['EarningsPerShareBasic'],
+ 'eps_diluted': ['EarningsPerShareDiluted'],
+ 'dividends_per_share': ['CommonStockDividendsPerShareDeclared']}
+PANEL_CONCEPTS = ['Revenues', 'RevenueFromContractWithCustomerExcludingAssessedTax', 'SalesRevenueNet',
+ 'NetIncomeLoss', 'OperatingIncomeLoss', 'GrossProfit', 'IncomeTaxExpenseBenefit',
+ 'InterestExpense', 'InterestAndDebtExpense', 'ResearchAndDevelopmentExpense',
+ 'SellingGeneralAndAdministrativeExpense', 'Assets', 'AssetsCurrent',
+ 'CashAndCashEquivalentsAtCarryingValue', 'AccountsReceivableNetCurrent', 'InventoryNet',
+ 'PropertyPlantAndEquipmentNet', 'Liabilities', 'LiabilitiesCurrent', 'LongTermDebt',
+ 'LongTermDebtNoncurrent', 'RetainedEarningsAccumulatedDeficit', 'StockholdersEquity',
+ 'NetCashProvidedByUsedInOperatingActivities', 'PaymentsToAcquirePropertyPlantAndEquipment',
+ 'DepreciationDepletionAndAmortization', 'Depreciation', 'CostsAndExpenses',
+ 'CommonStockSharesOutstanding', 'EarningsPerShareBasic', 'EarningsPerShareDiluted',
+ 'CommonStockDividendsPerShareDeclared']
+SNAPSHOT_CONCEPTS = {'net_income': 'NetIncomeLoss',
+ 'gross_profit': 'GrossProfit',
+ 'operating_income': 'OperatingIncomeLoss',
+ 'ebit': 'OperatingIncomeLoss',
+ 'total_assets': 'Assets',
+ 'current_assets': 'AssetsCurrent',
+ 'current_liabilities': 'LiabilitiesCurrent',
+ 'total_liabilities': 'Liabilities',
+ 'long_term_debt': 'LongTermDebt',
+ 'retained_earnings': 'RetainedEarningsAccumulatedDeficit',
+ 'shares_outstanding': 'CommonStockSharesOutstanding',
+ 'receivables': 'AccountsReceivableNetCurrent',
+ 'inventory': 'InventoryNet',
+ 'ppe_net': 'PropertyPlantAndEquipmentNet',
+ 'operating_cash_flow': 'NetCashProvidedByUsedInOperatingActivities',
+ 'capex': 'PaymentsToAcquirePropertyPlantAndEquipment',
+ 'depreciation': 'DepreciationDepletionAndAmortization'}
+SNAPSHOT_REVENUE = ('Revenues', 'RevenueFromContractWithCustomerExcludingAssessedTax')
+GOING_CONCERN_CONCEPTS = ('SubstantialDoubtAboutGoingConcernTextBlock', 'GoingConcernDisclosureTextBlock')
+BIG4 = ['deloitte', 'ernst & young', 'kpmg', 'pricewaterhousecoopers']
+OTHER_MAJOR = ['bdo ', 'grant thornton', 'rsm us', 'rsm llp', 'mazars', 'crowe', 'baker tilly', 'cohnreznick',
+ 'moss adams', 'plante moran', 'cherry bekaert', 'forvis', 'dixon hughes', 'eide bailly', 'marcum',
+ 'citrin', 'withum', 'weaver', 'cbiz', 'wipfli', 'armanino', 'friedman', 'rkl', 'svb alliant',
+ 'sensiba', 'mgq']
+# fmt: on
+
 AS_OF = f"DATE '{t.AS_OF}'"
 
 

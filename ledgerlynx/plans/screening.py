@@ -13,6 +13,7 @@ from ..operators import enrich, facts as facts_ops, governance, insider, market
 from ..operators.scoring import build_report
 from ..operators.signals import assemble_signals
 from ..schemas import align_schema
+from ..session import materialise
 
 
 @dataclass(frozen=True)
@@ -53,12 +54,22 @@ def enrich_market(
 def enrich_insider(
     financials: DataFrame, submissions: DataFrame, documents: DataFrame, as_of: dt.date
 ) -> DataFrame:
-    """Only documents of the filings that count are parsed."""
-    filings = insider.newest_per_company(insider.recent_filings(submissions, as_of))
+    signals = insider_company_signals(submissions, documents, as_of)
+    return enrich.update_columns(financials, signals, "cik", list(schemas.INSIDER_FIELDS))
+
+
+def insider_company_signals(
+    submissions: DataFrame, documents: DataFrame, as_of: dt.date
+) -> DataFrame:
+    """Insider signals per company; only documents of the filings that count are parsed.
+
+    The newest filings are used twice and stored in between: at most 20 rows per company.
+    """
+    newest = insider.newest_per_company(insider.recent_filings(submissions, as_of))
+    filings = materialise(newest, "newest-filings")
     wanted = documents.join(filings.select("cik", "accession"), ["cik", "accession"], "left_semi")
     sums = insider.filing_sums(insider.parse_transactions(wanted))
-    signals = insider.insider_signals(filings, sums)
-    return enrich.update_columns(financials, signals, "cik", list(schemas.INSIDER_FIELDS))
+    return insider.insider_signals(filings, sums)
 
 
 def enrich_auditor_names(financials: DataFrame, facts: DataFrame) -> DataFrame:
@@ -76,7 +87,10 @@ def classify_auditors(financials: DataFrame) -> DataFrame:
 
 
 def override_going_concern(financials: DataFrame, ciks: DataFrame) -> DataFrame:
-    """The text search replaces the tagged flag; auditor fields stay."""
+    """The text search replaces the tagged flag.
+
+    Auditor fields stay, as they come from the facts and not from the search.
+    """
     hits = ciks.select("cik_text", F.lit(True).alias("_hit"))
     return (
         financials.withColumn("cik_text", facts_ops.stripped_cik(F.col("cik")))

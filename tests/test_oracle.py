@@ -14,7 +14,7 @@ def con():
     return connect(SF)
 
 
-@pytest.mark.parametrize("name", [n for n in entry.queries() if n not in SLOW])
+@pytest.mark.parametrize("name", [n for n in entry.oracle_sql() if n not in SLOW])
 def test_query_equals_oracle(spark, con, name):
     problem, _ = difference(spark, con, name, SF)
     assert problem is None, problem

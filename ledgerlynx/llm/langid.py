@@ -41,6 +41,8 @@ SCRIPTS = {
     "han": ((0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x2FA1F)),
 }
 _OTHER = 1 + len(SCRIPTS)
+_MARK = _OTHER + 1  # combining marks belong to a word but are no letters
+_KINDS = _MARK + 1
 _CHARS = 1 << 19  # characters a worker scores at a time, whole texts only
 
 
@@ -58,15 +60,16 @@ class LangParams:
 
 @cache
 def _script_of() -> np.ndarray:
-    """0 for what is no letter, else the script's number."""
+    """0 for what is no letter or mark, else the number of the script, or that of marks."""
     kinds = np.zeros(0x110000, dtype=np.int8)
-    for c in range(0x30000):
-        if unicodedata.category(chr(c))[0] in "LM":
-            kinds[c] = _OTHER
+    for c in range(0x32400):
+        kind = unicodedata.category(chr(c))[0]
+        if kind in "LM":
+            kinds[c] = _OTHER if kind == "L" else _MARK
     for i, ranges in enumerate(SCRIPTS.values(), 1):
         for low, high in ranges:
             part = kinds[low : high + 1]
-            part[part > 0] = i
+            part[part == _OTHER] = i
     return kinds
 
 
@@ -150,7 +153,7 @@ def fit_languages(docs: DataFrame, params: LangParams = LangParams()) -> LangMod
         sums: dict[str, np.ndarray] = {}
         for b in batches:
             for lang, group in b.groupby("lang"):
-                total = sums.setdefault(lang, np.zeros(buckets + _OTHER + 1))
+                total = sums.setdefault(lang, np.zeros(buckets + _KINDS))
                 texts = group["text"].tolist()
                 for low, high in _chunks(texts):
                     codes, _, script = _letters(texts[low:high])
@@ -158,7 +161,7 @@ def fit_languages(docs: DataFrame, params: LangParams = LangParams()) -> LangMod
                     near[1:] |= codes[:-1] > 0
                     for h in _hashes(codes, buckets):
                         total[:buckets] += np.bincount(h[near], minlength=buckets)
-                    total[buckets:] += np.bincount(script, minlength=_OTHER + 1)
+                    total[buckets:] += np.bincount(script, minlength=_KINDS)
         for lang, total in sums.items():
             at = np.flatnonzero(total)
             yield pd.DataFrame({"lang": lang, "bucket": at, "n": total[at].astype(np.int64)})
@@ -172,7 +175,7 @@ def fit_languages(docs: DataFrame, params: LangParams = LangParams()) -> LangMod
     )
     langs = sorted(sums["lang"].unique())
     table = np.zeros((buckets, len(langs)))
-    scripts = np.zeros((_OTHER + 1, len(langs)))
+    scripts = np.zeros((_KINDS, len(langs)))
     for i, lang in enumerate(langs):
         own = sums[sums["lang"] == lang]
         is_gram = (own["bucket"] < buckets).to_numpy()
@@ -183,11 +186,11 @@ def fit_languages(docs: DataFrame, params: LangParams = LangParams()) -> LangMod
         logs = np.log(p)
         logs -= logs.mean(axis=1, keepdims=True)
         table = np.clip(logs, -params.clip, params.clip)
-        scripts[0] = 0
+        scripts[0] = scripts[_MARK] = 0
         shares = scripts / np.maximum(1, scripts.sum(axis=0))
         allowed = shares >= params.script_share
     else:
-        allowed = np.zeros((_OTHER + 1, 0), dtype=bool)
+        allowed = np.zeros((_KINDS, 0), dtype=bool)
     return LangModel(langs, table.astype(np.float32), allowed, params)
 
 
@@ -217,7 +220,7 @@ def _viterbi(scores: np.ndarray, first: np.ndarray, count: np.ndarray, penalty:
 
 
 def _label(texts: list[str], model: LangModel):
-    """Word positions, documents and labels of a chunk of texts."""
+    """Word positions, documents and labels of a chunk of texts, and which texts have letters."""
     codes, owner, script = _letters(texts)
     start, end = _words(codes)
     k = len(model.langs)
@@ -238,7 +241,8 @@ def _label(texts: list[str], model: LangModel):
     first = np.concatenate(([0], np.cumsum(count)[:-1]))
     has = np.flatnonzero(count)
     labels = _viterbi(scores, first[has], count[has], model.params.switch) if len(has) else np.zeros(0, np.int8)
-    return start, end, doc, labels, first, count
+    lettered = np.bincount(owner, weights=(script > 0) & (script != _MARK), minlength=len(texts))
+    return start, end, doc, labels, lettered > 0
 
 
 def identify_languages(docs: DataFrame, model: LangModel, spans: bool = True) -> DataFrame:
@@ -259,11 +263,11 @@ def identify_languages(docs: DataFrame, model: LangModel, spans: bool = True) ->
         pred, score = np.full(len(texts), k), np.zeros(len(texts))
         runs: list[list[dict]] = [[] for _ in texts]
         for low, high in _chunks(texts) if k else ():
-            start, end, doc, labels, first, count = _label(texts[low:high], m)
+            start, end, doc, labels, lettered = _label(texts[low:high], m)
             sums = np.bincount(doc * k + labels, weights=end - start, minlength=(high - low) * k)
             sums = sums.reshape(-1, k)
             total = sums.sum(axis=1)
-            some = total > 0
+            some = (total > 0) & lettered
             pred[low:high] = np.where(some, sums.argmax(axis=1), k)
             score[low:high] = np.where(some, sums.max(axis=1) / np.maximum(total, 1), 0.0)
             if spans and len(doc):

@@ -252,12 +252,15 @@ def mixed_documents(docs: DataFrame, params: MixParams = MixParams()) -> DataFra
     A document appears once for every pass that draws it; the one cut at its source's
     target has its first words only, joined by blanks.
     """
-    draws = mix_sources(docs, params).draws.select("row_hash", "words", "shard", "position")
-    keyed = one_of_each(docs.withColumn("row_hash", row_hash(params)), "row_hash")
-    drawn = keyed.join(share_of(draws, "draws"), "row_hash")
+    names = ("row_hash", "words", "shard", "position")
+    draws = mix_sources(docs, params).draws.select(*[F.col(n).alias(f"_mix_{n}") for n in names])
+    keyed = one_of_each(docs.withColumn("_mix_row_hash", row_hash(params)), "_mix_row_hash")
+    drawn = keyed.join(share_of(draws, "draws"), "_mix_row_hash")
     found = F.regexp_extract_all("text", F.lit(f"({WORD})"), F.lit(1))
-    cut = F.array_join(F.slice(found, F.lit(1), F.col("words").cast("int")), " ")
-    whole = F.regexp_count("text", F.lit(WORD)) == F.col("words")
+    cut = F.array_join(F.slice(found, F.lit(1), F.col("_mix_words").cast("int")), " ")
+    whole = F.regexp_count("text", F.lit(WORD)) == F.col("_mix_words")
     drawn = drawn.withColumn("text", F.when(whole, F.col("text")).otherwise(cut))
-    ordered = drawn.repartition(params.shards, "shard").sortWithinPartitions("shard", "position")
+    ordered = drawn.repartition(params.shards, "_mix_shard").sortWithinPartitions(
+        "_mix_shard", "_mix_position"
+    )
     return ordered.select(*docs.columns)

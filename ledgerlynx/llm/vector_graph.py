@@ -140,7 +140,9 @@ def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def _nodes(vectors: DataFrame, key: str, vec: str) -> DataFrame:
     """(node, copies, vec): distinct usable vectors under their least id."""
-    rows = vectors.select(F.col(key).alias("id"), F.col(vec).cast("array<double>").alias("vec"))
+    rows = vectors.select(
+        F.col(key).cast("long").alias("id"), F.col(vec).cast("array<double>").alias("vec")
+    )
     rows = rows.where(F.col("id").isNotNull() & finite(F.col("vec")))
     return rows.groupBy("vec").agg(F.min("id").alias("node"), F.count("*").alias("copies"))
 
@@ -303,7 +305,9 @@ def near_duplicate_vectors(
             F.coalesce("component", "node").alias("_component"),
         )
     )
-    rows = vectors.select(F.col(key).alias("vec_id"), F.col(vec).cast("array<double>").alias("vec"))
+    rows = vectors.select(
+        F.col(key).cast("long").alias("vec_id"), F.col(vec).cast("array<double>").alias("vec")
+    )
     usable = F.col("vec_id").isNotNull() & finite(F.col("vec"))
     joined = rows.where(usable).join(known, "vec", "left").drop("vec")
     # Rows that link with nothing stay out of the join, where they would share one key.

@@ -14,7 +14,7 @@ from ledgerlynx.llm.common import table
 
 SF = "/root/testdata/sf0.01"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
-EXTRA = ", score double, predicted int, tid string, source_no int, length int, node string"
+EXTRA = ", score double, predicted int, tid string, source_no int, words int, node string"
 ODD = [
     (1, None, None, None, None),
     (2, "", "en", "a", 0),
@@ -98,6 +98,8 @@ def test_language_spans_of_mixed_text(spark):
     assert [s["lang"] for s in got[1]["lang_spans"]] == ["en", "ru"]
     assert (en + ru)[got[1]["lang_spans"][1]["start"] :].startswith("дом")
     assert got[2]["lang_pred"] == got[3]["lang_pred"] == "und"
+    marks = spark.createDataFrame([(1, "\u0301 \u0300")], "doc_id int, text string")
+    assert langid.identify_languages(marks, model).first()["lang_pred"] == "und"
 
 
 def test_viterbi_equals_plain_search():

@@ -1558,14 +1558,7 @@ def _stream(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.readStream.schema(t.TABLE_SCHEMAS[name]).parquet(f"{d}/{name}.parquet*")
 
 
-@register(
-    "stream_refresh",
-    o.query(
-        f"SELECT {_SNAP} FROM sn WHERE nullif(total_assets, 0) IS NOT NULL "
-        "AND cik IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')", "sn",
-    ),
-)
-def _(spark, d):
+def _changes(spark, d):
     """Filled orders announce filings; each batch refreshes the companies named."""
     filings = (
         _stream(spark, d, "orders")
@@ -1577,10 +1570,19 @@ def _(spark, d):
         )
     )
     changes, checkpoint = new_folder(spark, "changes"), new_folder(spark, "stream")
-    refresh.start_refresh(
-        filings, lambda s: t.facts(s, d), changes, checkpoint, watermark="5000 days"
-    ).awaitTermination()
-    applied = refresh.newest_changes(spark.read.parquet(changes))
+    refresh.start_refresh(filings, lambda s: t.facts(s, d), changes, checkpoint).awaitTermination()
+    return spark.read.parquet(changes)
+
+
+@register(
+    "stream_refresh",
+    o.query(
+        f"SELECT {_SNAP} FROM sn WHERE nullif(total_assets, 0) IS NOT NULL "
+        "AND cik IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')", "sn",
+    ),
+)
+def _(spark, d):
+    applied = refresh.newest_changes(_changes(spark, d))
     return applied.select("cik", *schemas.SNAPSHOT_FIELDS, "going_concern")
 
 
@@ -1595,16 +1597,5 @@ def _(spark, d):
     )
     out, checkpoint = new_folder(spark, "daily"), new_folder(spark, "stream")
 
-    def keep(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite").parquet(out)
-
-    (
-        refresh.daily_counts(filings)
-        .writeStream.outputMode("complete")
-        .foreachBatch(keep)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-        .awaitTermination()
-    )
-    return spark.read.parquet(out)
+    refresh.start_daily(filings, out, checkpoint).awaitTermination()
+    return refresh.newest_counts(spark.read.parquet(out))

@@ -13,6 +13,7 @@ from ..operators import facts as facts_ops
 from ..operators import prices, screens, stats
 from ..plans import screening
 from ..sources import landed
+from ..streaming import refresh
 from . import catalog as k
 from . import oracle as o
 from . import tables as t
@@ -250,3 +251,24 @@ def _(spark, d):
     missing = bars.withColumn("close", F.lit(None).cast("double"))
     days = prices.one_bar_per_day(bars.unionByName(lower).unionByName(missing))
     return days.select("ticker", c("date").alias("day"), rnd("close", 4).alias("close"))
+
+
+_REVENUE = "nullif(sn.revenue, 0) IS NOT NULL"
+
+
+@k.register(
+    "refreshed_report",
+    o.query("SELECT cik, ticker, market_cap, fraud_score, risk FROM rp", "rp")
+    .replace(
+        f"AND {_REVENUE}",
+        f"AND ({_REVENUE} OR co.cik IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F'))",
+    )
+    .replace("co.exchange, co.market_cap,", f"co.exchange, CASE WHEN {_REVENUE} THEN co.market_cap END AS market_cap,"),
+)
+def _(spark, d):
+    """Stream, upsert, and score again: companies that filed enter without revenue, too."""
+    inputs = t.screen_inputs(spark, d)
+    base = screening.base_financials(inputs.companies, inputs.facts)
+    current = refresh.current_companies(base, k._changes(spark, d), inputs.companies)
+    report = screening.run_screen(inputs, t.AS_OF, current)[2]
+    return report.select("cik", "ticker", "market_cap", "fraud_score", "risk")

@@ -100,9 +100,14 @@ def override_going_concern(financials: DataFrame, ciks: DataFrame) -> DataFrame:
     )
 
 
-def enriched_financials(inputs: ScreenInputs, as_of: dt.date) -> DataFrame:
-    """All enrichments.  Joins on cik come first and share one partitioning, then ticker."""
-    fin = base_financials(inputs.companies, inputs.facts)
+def enriched_financials(
+    inputs: ScreenInputs, as_of: dt.date, base: DataFrame | None = None
+) -> DataFrame:
+    """All enrichments.  Joins on cik come first and share one partitioning, then ticker.
+
+    ``base`` replaces the snapshot of the facts, as after a refresh.
+    """
+    fin = base if base is not None else base_financials(inputs.companies, inputs.facts)
     if inputs.submissions is not None and inputs.form4_documents is not None:
         fin = enrich_insider(fin, inputs.submissions, inputs.form4_documents, as_of)
     fin = enrich_auditor_names(fin, inputs.facts)
@@ -116,8 +121,10 @@ def enriched_financials(inputs: ScreenInputs, as_of: dt.date) -> DataFrame:
     return classify_auditors(fin)
 
 
-def run_screen(inputs: ScreenInputs, as_of: dt.date) -> tuple[DataFrame, DataFrame, DataFrame]:
+def run_screen(
+    inputs: ScreenInputs, as_of: dt.date, base: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(financials, signals, report)."""
-    fin = enriched_financials(inputs, as_of)
+    fin = enriched_financials(inputs, as_of, base)
     signals = assemble_signals(fin)
     return fin, signals, build_report(signals)

@@ -95,6 +95,29 @@ def daily_counts(filings: DataFrame, watermark: str = WATERMARK) -> DataFrame:
     )
 
 
+def start_daily(
+    filings: DataFrame, counts_path: str, checkpoint: str, watermark: str = WATERMARK
+) -> StreamingQuery:
+    """Log the counts each batch changed; days behind the watermark leave the state."""
+
+    def write_batch(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{counts_path}/{BATCH}={batch_id}")
+
+    return (
+        daily_counts(filings, watermark)
+        .writeStream.outputMode("update")
+        .foreachBatch(write_batch)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+
+
+def newest_counts(counts: DataFrame) -> DataFrame:
+    """The count of every day and form as the last batch that changed it left it."""
+    return counts.groupBy("day", "form").agg(F.max_by("filings", BATCH).alias("filings"))
+
+
 def filed_within(filings: DataFrame, as_of_ts, days: int) -> DataFrame:
     """Rows filed in the last ``days`` days before ``as_of_ts``."""
     return filings.where(c("filed_ts") >= F.lit(as_of_ts) - F.make_dt_interval(F.lit(days)))

@@ -104,4 +104,27 @@ n AS (SELECT a, count(*) AS n_links FROM l GROUP BY a)
 SELECT vec_id, coalesce(n_links, 0) AS n_links, coalesce(component_id, vec_id) AS component_id,
   coalesce(component_id, vec_id) = vec_id AS kept
 FROM embeddings LEFT JOIN c ON c.a = vec_id LEFT JOIN n ON n.a = vec_id""",
+    "op6_repeated_bytes": """
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, encode(coalesce(text, '')) AS b FROM documents),
+w AS (
+  SELECT rid, s, md5(array_slice(b, s, s + 399)) AS h
+  FROM (SELECT rid, b, unnest(generate_series(1, CAST(octet_length(b) AS BIGINT) - 399)) AS s FROM d)),
+t AS (
+  SELECT rid, s, s - lag(s) OVER (PARTITION BY rid ORDER BY s) AS step
+  FROM w WHERE h IN (SELECT h FROM w GROUP BY h HAVING count(*) > 1)),
+i AS (
+  SELECT rid, s, sum(CASE WHEN step <= 400 THEN 0 ELSE 1 END) OVER (PARTITION BY rid ORDER BY s) AS run FROM t),
+r AS (SELECT rid, min(s) AS a, max(s) + 399 AS e FROM i GROUP BY rid, run),
+g AS (
+  SELECT rid, coalesce(lag(e) OVER (PARTITION BY rid ORDER BY a), 0) AS low, a AS high FROM r
+  UNION ALL
+  SELECT d.rid, coalesce(max(e), 0), any_value(octet_length(b)) + 1 FROM d LEFT JOIN r ON r.rid = d.rid GROUP BY d.rid),
+k AS (
+  SELECT d.rid, string_agg(substr(hex(b), CAST(2 * low + 1 AS BIGINT), CAST(2 * (high - low - 1) AS BIGINT)), '' ORDER BY low) AS kept
+  FROM g JOIN d ON d.rid = g.rid GROUP BY d.rid),
+c AS (SELECT rid, sum(e - a + 1) AS gone, count(*) AS runs FROM r GROUP BY rid)
+SELECT doc_id, CAST(octet_length(b) AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed,
+  coalesce(runs, 0) AS n_spans, sha256(unhex(kept)) AS kept_sha256
+FROM d JOIN k ON k.rid = d.rid LEFT JOIN c ON c.rid = d.rid""",
 }

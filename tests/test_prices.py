@@ -214,3 +214,11 @@ def test_quotes(spark):
     r = rows_by(market.quote_signals(q), "ticker")
     assert (r["A"]["beta"], r["A"]["bid_ask_spread"]) == (1.235, 0.2)
     assert r["B"]["bid_ask_spread"] is None and r["C"]["bid_ask_spread"] is None
+
+
+def test_price_scan_reads_only_dates_in_reach(spark):
+    from ledgerlynx.demo import catalog
+
+    panel = catalog.build_panel(spark, "/root/testdata/sf0.001")
+    plan = panel._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(l_shipdate" in plan and "LessThan" in plan

@@ -39,6 +39,7 @@ _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _MASK = (1 << 64) - 1
 _KNOWN = 500_000
+_CELLS = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -67,7 +68,7 @@ class Shingler:
         self.size, self.known = words, {}
 
     def __call__(self, text: str) -> np.ndarray:
-        words = text.lower().split()
+        words = text.lower().encode("utf-8", "replace").split()
         known = self.known
         if len(known) > _KNOWN:
             known.clear()
@@ -75,7 +76,7 @@ class Shingler:
         for i, w in enumerate(words):
             h = known.get(w)
             if h is None:
-                h = known[w] = xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"))
+                h = known[w] = xxhash.xxh64_intdigest(w)
             codes[i] = h
         return labelled(codes, self.size)
 
@@ -88,7 +89,8 @@ def labelled(codes: np.ndarray, size: int) -> np.ndarray:
     width = min(size, n)
     h = np.zeros(n - width + 1, dtype=np.uint64)
     for k in range(width):
-        h = _mix(h + _STEP + codes[k : n - width + 1 + k])
+        h = h * _STEP + codes[k : n - width + 1 + k]
+    h = _mix(h)
     order = np.argsort(h, kind="stable")
     ranked = h[order]
     fresh = np.concatenate(([True], ranked[1:] != ranked[:-1]))
@@ -102,14 +104,18 @@ def labelled(codes: np.ndarray, size: int) -> np.ndarray:
 def order_sketch(x: np.ndarray, params: NearParams) -> np.ndarray:
     """One signature for each band: the least labelled shingles, in text order."""
     take = min(params.minima, len(x))
-    out = np.empty(params.bands, dtype=np.uint64)
-    for b in range(params.bands):
-        mixed = _mix(x ^ np.uint64((b + 1 + params.seed) * int(_STEP) & _MASK))
-        at = np.argpartition(mixed, take - 1)[:take] if take < len(x) else np.arange(len(x))
-        sig = np.zeros(1, dtype=np.uint64)
-        for v in x[np.sort(at)]:
-            sig = _mix(sig + _STEP + v)
-        out[b] = sig[0]
+    seeds = [(b + 1 + params.seed) * int(_STEP) & _MASK for b in range(params.bands)]
+    seeds = np.array(seeds, dtype=np.uint64)
+    out = np.zeros(params.bands, dtype=np.uint64)
+    wide = max(1, _CELLS // max(1, len(x)))  # bands at a time; long texts take few
+    for low in range(0, params.bands, wide):
+        mixed = _mix(x ^ seeds[low : low + wide, None])
+        at = np.argpartition(mixed, take - 1, axis=1)[:, :take] if take else mixed
+        chosen = x[np.sort(at, axis=1)] if take else mixed
+        sig = out[low : low + wide]
+        for k in range(take):
+            sig = _mix(sig + _STEP + chosen[:, k])
+        out[low : low + wide] = sig
     return out
 
 

@@ -37,7 +37,7 @@ _STEP = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 _PLACE_BITS = 26  # bytes handled at a time: windows of longer texts start in the next piece
-_PIECE = (1 << _PLACE_BITS) - (1 << 16)
+_PIECE = 1 << 21
 
 
 @dataclass(frozen=True)

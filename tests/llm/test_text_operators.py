@@ -279,6 +279,24 @@ def test_repeats_of_a_whole_table(spark):
     assert sorted((tuple(r) for r in got), key=repr) == _plain_repeats(rows, 400)
 
 
+def test_anchors_of_pieces_equal_those_of_the_whole(monkeypatch):
+    rng = np.random.default_rng(6)
+    data = rng.integers(97, 100, 2_000).astype(np.uint8)
+    params = suffixes.RepeatParams(length=60, gram=8, parts=4)
+
+    def by_window():
+        out = {}
+        for spot, first, last, fp in zip(*suffixes.anchors(data, params), strict=True):
+            out.update({s: (spot, fp) for s in range(first, last + 1)})
+        return out
+
+    whole = by_window()
+    assert sorted(whole) == list(range(len(data) - 59))
+    assert all(s <= spot <= s + params.places - 1 for s, (spot, _) in whole.items())
+    monkeypatch.setattr(suffixes, "_PIECE", 300)
+    assert by_window() == whole
+
+
 def test_repeats_odd_rows(odd, none):
     got = {r["doc_id"]: r for r in suffixes.remove_repeats(odd).collect()}
     assert got[1]["text"] is None and got[1]["n_bytes"] == 0

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import dataclasses
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
@@ -31,7 +31,7 @@ def company_documents(spark: SparkSession, d: str) -> DataFrame:
         )
     )
 
-    def members(key: str, body: str) -> list:
+    def members(key: str, body: str) -> Column:
         pair = F.concat(F.lit('"'), c(key), F.lit('":'), c(body))
         return F.concat(F.lit("{"), F.array_join(F.collect_list(pair), ","), F.lit("}"))
 

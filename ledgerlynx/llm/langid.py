@@ -48,7 +48,7 @@ _CHARS = 1 << 19  # characters a worker scores at a time, whole texts only
 
 @dataclass(frozen=True)
 class LangParams:
-    """About ``sample`` training documents of each language are used, equal texts alike."""
+    """About ``sample`` different training texts of each language are used, each once."""
 
     sample: int = 2_000
     buckets: int = 1 << 17
@@ -132,22 +132,25 @@ def _chunks(texts: list[str]) -> Iterator[tuple[int, int]]:
         yield start, len(texts)
 
 
+def training_texts(docs: DataFrame, sample: int) -> DataFrame:
+    """(lang, text): about ``sample`` different texts of every language, all where it has fewer.
+
+    Copies count once, both for the size of a language and in its sample.
+    """
+    rows = docs.where("lang is not null and text is not null").select("lang", "text")
+    # One row for each language; only hashes of its texts are shuffled.
+    sizes = rows.groupBy("lang").agg(F.count_distinct(F.xxhash64("text")).alias("_all"))
+    picked = F.pmod(F.xxhash64("text"), F.col("_all")) < sample
+    return rows.join(F.broadcast(sizes), "lang").where(picked).select("lang", "text").distinct()
+
+
 def fit_languages(docs: DataFrame, params: LangParams = LangParams()) -> LangModel:
     """Count the n-grams of about ``params.sample`` whole texts of every language.
 
     Reads ``text`` and ``lang``; rows without either are left out.
     """
     buckets = params.buckets
-    rows = docs.where("lang is not null and text is not null").select("lang", "text")
-    # One row for each language; a hash picks about ``sample`` of its documents.
-    sizes = rows.groupBy("lang").agg(F.count("*").alias("_all"))
-    picked = F.pmod(F.xxhash64("text"), F.col("_all")) < params.sample
-    chosen = (
-        rows.join(F.broadcast(sizes), "lang")
-        .where(picked)
-        .select("lang", "text")
-        .repartition(16, F.xxhash64("text"))
-    )
+    chosen = training_texts(docs, params.sample).repartition(16, F.xxhash64("text"))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict[str, np.ndarray] = {}

@@ -127,6 +127,20 @@ def test_language_odd_rows(odd, none):
     assert langid.identify_languages(none, model).count() == 0
 
 
+def test_language_sample_counts_copies_once(spark):
+    """A hot text neither hides its language nor fills the sample."""
+    rows = [(f"habari ya mji wa zamani {i}", "sw") for i in range(100)] + [("soko kubwa", "sw")] * 25_000
+    rows += [(f"the garden of the old town {i}", "en") for i in range(100)] + [("ile nla", "yo")] * 15
+    docs = spark.createDataFrame(rows, "text string, lang string").repartition(4)
+    params = langid.LangParams(sample=20, buckets=1 << 12)
+    model = langid.fit_languages(docs, params)
+    assert model.langs == ["en", "sw", "yo"]
+    chosen = Counter((r["lang"], r["text"]) for r in langid.training_texts(docs, 20).collect())
+    assert set(chosen.values()) == {1}
+    sizes = Counter(lang for lang, _ in chosen)
+    assert sizes["yo"] == 1 and 5 < sizes["sw"] < 40 and 5 < sizes["en"] < 40
+
+
 # -- tokens and packing -------------------------------------------------------
 
 

@@ -44,6 +44,7 @@ _OTHER = 1 + len(SCRIPTS)
 _MARK = _OTHER + 1  # combining marks belong to a word but are no letters
 _KINDS = _MARK + 1
 _CHARS = 1 << 19  # characters a worker scores at a time, whole texts only
+_CELLS = 1 << 24  # characters x languages, which bound its memory with many languages
 
 
 @dataclass(frozen=True)
@@ -121,10 +122,11 @@ class LangModel:
     params: LangParams
 
 
-def _chunks(texts: list[str]) -> Iterator[tuple[int, int]]:
+def _chunks(texts: list[str], langs: int = 1) -> Iterator[tuple[int, int]]:
+    most = min(_CHARS, _CELLS // langs)
     start = size = 0
     for i, t in enumerate(texts):
-        if size and size + len(t) > _CHARS:
+        if size and size + len(t) > most:
             yield start, i
             start, size = i, 0
         size += len(t)
@@ -199,13 +201,14 @@ def fit_languages(docs: DataFrame, params: LangParams = LangParams()) -> LangMod
 
 def _viterbi(scores: np.ndarray, first: np.ndarray, count: np.ndarray, penalty: float) -> np.ndarray:
     """Best label of every word; all texts advance together, one word at a time."""
-    labels = np.zeros(len(scores), dtype=np.int8)
+    kind = np.min_scalar_type(scores.shape[1])
+    labels = np.zeros(len(scores), dtype=kind)
     order = np.argsort(-count, kind="stable")
     first, count = first[order], count[order]
     live = np.searchsorted(-count, -np.arange(1, (count[0] if len(count) else 0) + 1), side="right")
-    back = np.empty((len(scores), scores.shape[1]), dtype=np.int8)
+    back = np.empty((len(scores), scores.shape[1]), dtype=kind)
     best = np.zeros((len(count), scores.shape[1]), dtype=np.float64)
-    own = np.arange(scores.shape[1], dtype=np.int8)
+    own = np.arange(scores.shape[1], dtype=kind)
     for t, n in enumerate(live):
         at, prev = first[:n] + t, best[:n]
         top = prev.argmax(axis=1)
@@ -213,7 +216,7 @@ def _viterbi(scores: np.ndarray, first: np.ndarray, count: np.ndarray, penalty:
         stay = prev >= jump[:, None] if t else np.ones_like(prev, dtype=bool)
         back[at] = np.where(stay, own, top[:, None])
         best[:n] = np.where(stay, prev, jump[:, None]) + scores[at]
-    now = best.argmax(axis=1).astype(np.int8)
+    now = best.argmax(axis=1).astype(kind)
     for t in range(len(live) - 1, -1, -1):
         n = live[t]
         at = first[:n] + t
@@ -265,7 +268,7 @@ def identify_languages(docs: DataFrame, model: LangModel, spans: bool = True) ->
         texts = [t or "" for t in texts]
         pred, score = np.full(len(texts), k), np.zeros(len(texts))
         runs: list[list[dict]] = [[] for _ in texts]
-        for low, high in _chunks(texts) if k else ():
+        for low, high in _chunks(texts, k) if k else ():
             start, end, doc, labels, lettered = _label(texts[low:high], m)
             sums = np.bincount(doc * k + labels, weights=end - start, minlength=(high - low) * k)
             sums = sums.reshape(-1, k)

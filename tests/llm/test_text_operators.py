@@ -141,6 +141,19 @@ def test_language_sample_counts_copies_once(spark):
     assert sizes["yo"] == 1 and 5 < sizes["sw"] < 40 and 5 < sizes["en"] < 40
 
 
+def test_language_of_two_hundred(spark):
+    """Labels of many languages stay their own: each language here has syllables no other has."""
+    names = [f"l{i:03}" for i in range(200)]
+    words = [[chr(0xAC00 + 50 * i + j) * 2 for j in range(8)] for i in range(200)]
+    rows = [(i, n, " ".join(w * 3)) for i, (n, w) in enumerate(zip(names, words, strict=True))]
+    docs = spark.createDataFrame(rows, "doc_id int, lang string, text string").coalesce(1)
+    model = langid.fit_languages(docs, langid.LangParams(buckets=1 << 14))
+    assert model.langs == names
+    got = langid.identify_languages(docs, model).collect()
+    assert [r["lang_pred"] for r in got] == [r["lang"] for r in got]
+    assert all([s["lang"] for s in r["lang_spans"]] == [r["lang"]] for r in got)
+
+
 # -- tokens and packing -------------------------------------------------------
 
 

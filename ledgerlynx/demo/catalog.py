@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -1543,11 +1544,19 @@ def _(spark, d):
 
 @register("gbt_walk_forward")
 def _(spark, d):
-    """Few trees: the demonstration of the model loop, not of its accuracy."""
-    rows = model.prepare(panel(spark, d), "forward_return_12m")
-    params = model.TreeParams(trees=3, depth=3)
-    fit = model.walk_forward(rows, "forward_return_12m", "beat_sp500", params=params)
-    return model.split_metrics(materialise(fit.predictions, "predictions"))
+    """The model loop with all trees on both horizons; one without a split has no rows."""
+    parts = []
+    for horizon, beat in (("12m", "beat_sp500"), ("24m", "beat_sp500_24m")):
+        label = f"forward_return_{horizon}"
+        rows = panel(spark, d).where(c(label).isNotNull())
+        if not model.test_years(model.walk_forward_splits(rows)):
+            continue
+        fit = model.walk_forward(model.prepare(rows, label), label, beat, params=model.TreeParams())
+        metrics = model.split_metrics(materialise(fit.predictions, f"predictions-{horizon}"))
+        parts.append(metrics.select(F.lit(horizon).alias("horizon"), *metrics.columns))
+    if not parts:
+        raise ValueError("not enough labelled years for a walk-forward split")
+    return reduce(DataFrame.unionByName, parts)
 
 
 # == streams ==================================================================

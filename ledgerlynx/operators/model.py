@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
-from functools import reduce
+from functools import partial, reduce
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -43,6 +45,7 @@ FEATURES = [
 
 MIN_TRAIN, MIN_TEST = 50, 10
 TOP_N = 20
+FITS = 8  # models fitted side by side: their many small jobs mostly wait for the driver
 
 
 def present_features(df: DataFrame) -> list[str]:
@@ -242,7 +245,7 @@ def walk_forward(
     """Fit a classifier and a regressor per test year on all earlier years.
 
     ``rows`` comes from :func:`prepare`.  Training is distributed by MLlib; the
-    driver only steps through the handful of test years.
+    driver only steps through the handful of test years, ``FITS`` models at a time.
     """
     p = params or TreeParams()
     feats = list(features or present_features(rows))
@@ -254,7 +257,7 @@ def walk_forward(
     medians: dict[int, dict[str, float]] = {}
     for r in train_medians(frozen, years, feats).collect():
         medians.setdefault(r["test_year"], {})[r["feature"]] = r["median"]
-    predictions, importances = [], []
+    spark, split, tasks = rows.sparkSession, {}, []
     for year in years:
         seen = frozen.where(c("fiscal_year") <= year)
         data = materialise(
@@ -267,9 +270,16 @@ def walk_forward(
             ),
             f"split-{year}",
         )
-        train, test = data.where(c("fiscal_year") < year), data.where(c("fiscal_year") == year)
-        clf = GBTClassifier(labelCol="beat", **p.kwargs()).fit(train)
-        reg = GBTRegressor(labelCol="actual", **p.kwargs()).fit(train)
+        train, split[year] = data.where(c("fiscal_year") < year), data.where(c("fiscal_year") == year)
+        for learner in (
+            GBTClassifier(labelCol="beat", **p.kwargs()),
+            GBTRegressor(labelCol="actual", **p.kwargs()),
+        ):
+            tasks.append(inheritable_thread_target(spark)(partial(learner.fit, train)))
+    with ThreadPool(min(FITS, len(tasks))) as pool:
+        fitted = pool.map(lambda task: task(), tasks, chunksize=1)
+    predictions, importances = [], []
+    for (year, test), clf, reg in zip(split.items(), fitted[::2], fitted[1::2], strict=True):
         both = reg.transform(
             clf.transform(test).select(
                 "cik", "fiscal_year", "features", "beat", "actual",
@@ -282,7 +292,7 @@ def walk_forward(
                 c("prediction").alias("predicted_return"),
             )
         )
-        importances.append(_importance_rows(rows.sparkSession, year, feats, clf))
+        importances.append(_importance_rows(spark, year, feats, clf))
     return WalkForward(
         reduce(DataFrame.unionByName, predictions), reduce(DataFrame.unionByName, importances)
     )

@@ -223,6 +223,24 @@ def test_walk_forward_end_to_end(spark):
     assert len(model.FEATURES) == len(set(model.FEATURES)) == 92
 
 
+def test_registered_walk_forward_is_the_full_model(spark, monkeypatch):
+    import __spark_entry__ as entry
+
+    asked, run = [], model.walk_forward
+
+    def quick(rows, label, beat, features=None, params=None):
+        asked.append((label, beat, params))
+        return run(rows, label, beat, features, model.TreeParams(trees=1, depth=1))
+
+    monkeypatch.setattr(model, "walk_forward", quick)
+    metrics = entry.queries()["gbt_walk_forward"](spark, "/root/testdata/sf0.01")
+    full = model.TreeParams(trees=200, depth=4)
+    assert asked == [
+        ("forward_return_12m", "beat_sp500", full), ("forward_return_24m", "beat_sp500_24m", full),
+    ]
+    assert set(rows_by(metrics, "horizon", "fiscal_year")) >= {("12m", None), ("24m", None)}
+
+
 def test_cumulative_growth_survives_total_loss(spark):
     df = spark.createDataFrame([(2000, 0.5, None), (2001, -1.2, 0.1)], "fiscal_year int, strategy double, benchmark double")
     r = rows_by(model.cumulative_growth(df), "fiscal_year")

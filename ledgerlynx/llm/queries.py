@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (
+    bitsliced,
     fim,
     langid,
     mixing,
@@ -93,6 +94,11 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fim.output_digests(fim.fill_in_middle(table(spark, sf_dir, "documents")))
 
 
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = bitsliced.index_documents(table(spark, sf_dir, "documents"))
+    return bitsliced.search(index, table(spark, sf_dir, "benchmark"))
+
+
 def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = token_files.write_token_files(table(spark, sf_dir, "documents"))
     return token_files.token_digests(token_files.scan_token_files(manifest))
@@ -110,6 +116,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_language_id": op9_language_id,
     "op10_token_counts": op10_token_counts,
     "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_ranked_search": op12_ranked_search,
     "op13_token_files": op13_token_files,
 }
 #: SQL for what SQL can express; the trained, hashed and tokenised queries have tests instead.
@@ -175,4 +182,27 @@ SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(pre) END AS prefix
     ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
   sha256(pre || mid || suf) AS restored_sha256
 FROM p""",
+    "op12_ranked_search": r"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ts FROM documents),
+c AS (SELECT CAST(count(*) AS BIGINT) AS n, CAST(sum(len(ts)) AS BIGINT) AS total FROM d WHERE len(ts) > 0),
+q AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM benchmark),
+f AS (
+  SELECT rid, doc_id, t, count(*) AS tf, any_value(100 - 50 + (50 * size * n) // total) AS m
+  FROM (SELECT rid, doc_id, unnest(ts) AS t, len(ts) AS size FROM d), c GROUP BY rid, doc_id, t),
+w AS (
+  SELECT t, CAST(floor(1000 * ln((2 * any_value(n) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w
+  FROM f, c GROUP BY t),
+s AS (
+  SELECT item_id, rid, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m))) AS BIGINT) AS score
+  FROM q JOIN f USING (t) JOIN w USING (t) GROUP BY item_id, rid, doc_id),
+r AS (
+  SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank,
+    doc_id, score FROM s WHERE score > 0)
+SELECT * FROM r WHERE rank <= 50""",
 }

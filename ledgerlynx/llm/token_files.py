@@ -21,6 +21,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass
 from functools import cache
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -31,9 +32,10 @@ from pyspark.sql import functions as F
 from ..session import new_folder
 from .common import share_of
 from .frames import SeekableReader, SeekableWriter
-from .tokens import _Known
+from .tokens import _byte_letters
 
-_CACHED = 600_000  # words a worker remembers; then it starts anew
+_CACHED = 1_200_000  # words a worker remembers; then it starts anew
+_LONGEST = 64  # characters of a word worth remembering
 _OUT = 4 << 20  # bytes of ids in one batch of a reader
 
 MANIFEST = "part long, path string, bytes long, n_docs long, n_ids long, frames long, first_id long, last_id long"
@@ -50,6 +52,36 @@ class TokenFileParams:
     scan_frames: int = 64
 
 
+# The letters and numbers below U+0250, where most texts stay.
+_LETTERS = "a-zA-Zªµº\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F"
+_BEYOND = "\u0250"
+_NUMBERS = "0-9²³¹¼½¾"
+_LOW = re.compile(
+    f"'(?:s|t|re|ve|m|ll|d)| ?[{_LETTERS}]+| ?[{_NUMBERS}]+| ?[^\\s{_LETTERS}{_NUMBERS}]+|\\s+(?!\\S)|\\s+"
+).findall
+_PLAIN_WORD = re.compile("[!-~]*").fullmatch  # after its blank, if it has one
+
+
+class _Known(dict):
+    """Word to its ids as bytes; the library is asked for a new word once."""
+
+    def __init__(self, model):
+        super().__init__()
+        self.tokenize, self.letters = model.tokenize, _byte_letters()
+
+    def __missing__(self, word: str) -> bytes:
+        blank = word[:1] == " "
+        if _PLAIN_WORD(word, int(blank)):  # bytes that are written as themselves
+            spelled = self.letters[32] + word[1:] if blank else word
+        else:
+            spelled = word.encode().decode("latin-1").translate(self.letters)
+        ids = [t.id for t in self.tokenize(spelled)]
+        data = pack(f"<{len(ids)}I", *ids)
+        if len(word) <= _LONGEST:
+            self[word] = data
+        return data
+
+
 class ByteIds:
     """Ids of whole texts under a byte-level vocabulary, remembering single words.
 
@@ -77,8 +109,9 @@ class ByteIds:
         """Both split the character alike after a letter, a digit, a sign and blanks."""
         for probe in (f"a{char}", f"1{char}", f"!{char}", f" {char}", f"  {char}a"):
             ends = [end for _, (_, end) in self.split(probe)]
-            if ends != np.cumsum([len(w) for w in self.words(probe)]).tolist():
-                return False
+            for words in (self.words, _LOW)[: 1 + (char < _BEYOND)]:
+                if ends != np.cumsum([len(w) for w in words(probe)]).tolist():
+                    return False
         return True
 
     def library(self, text: str) -> bytes:
@@ -86,14 +119,19 @@ class ByteIds:
         return np.array(ids, "<u4").tobytes()
 
     def encode(self, text: str) -> bytes:
-        fresh = set(text) - self.same
-        for char in fresh - self.other:
-            (self.same if self._agrees(char) else self.other).add(char)
-        if not fresh.isdisjoint(self.other) or any(s in text for s in self.special):
+        chars = set(text)
+        fresh = chars - self.same
+        if fresh:
+            for char in fresh - self.other:
+                (self.same if self._agrees(char) else self.other).add(char)
+            if not fresh.isdisjoint(self.other):
+                return self.library(text)
+        if any(s in text for s in self.special):
             return self.library(text)
         if len(self.known) > _CACHED:
             self.known.clear()
-        return b"".join(map(self.known.__getitem__, self.words(text)))
+        words = _LOW if max(chars, default="") < _BEYOND else self.words
+        return b"".join(map(self.known.__getitem__, words(text)))
 
 
 @cache

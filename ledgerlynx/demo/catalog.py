@@ -9,9 +9,8 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Callable
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import schemas
@@ -1542,21 +1541,147 @@ def _(spark, d):
     )
 
 
+_HORIZONS = {"12m": "beat_sp500", "24m": "beat_sp500_24m"}
+_fits: dict[tuple[str, str], model.WalkForward] = {}
+_finals: dict[tuple[str, str], model.FinalModel] = {}
+
+
+def walk_forward_fit(spark: SparkSession, d: str) -> model.WalkForward:
+    """The full model on both horizons, grown once per session and data set."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _fits:
+        horizons = {}
+        for name, beat in _HORIZONS.items():
+            label = f"forward_return_{name}"
+            rows = model.prepare(panel(spark, d).where(c(label).isNotNull()), label)
+            horizons[name] = model.Horizon(rows, label, beat, f"sp500_return_{name}")
+        _fits[key] = model.walk_forward_horizons(horizons, params=model.TreeParams())
+    return _fits[key]
+
+
+def final_fit(spark: SparkSession, d: str) -> model.FinalModel:
+    """The 12-month classifier on all labelled rows."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _finals:
+        rows = model.prepare(panel(spark, d), "forward_return_12m")
+        _finals[key] = model.fit_final(rows, "beat_sp500", params=model.TreeParams())
+    return _finals[key]
+
+
 @register("gbt_walk_forward")
 def _(spark, d):
     """The model loop with all trees on both horizons; one without a split has no rows."""
+    return model.split_metrics(walk_forward_fit(spark, d).predictions)
+
+
+def _both_horizons(sql: str) -> str:
+    """``sql`` written for the 12-month columns, for both horizons."""
     parts = []
-    for horizon, beat in (("12m", "beat_sp500"), ("24m", "beat_sp500_24m")):
-        label = f"forward_return_{horizon}"
-        rows = panel(spark, d).where(c(label).isNotNull())
-        if not model.test_years(model.walk_forward_splits(rows)):
-            continue
-        fit = model.walk_forward(model.prepare(rows, label), label, beat, params=model.TreeParams())
-        metrics = model.split_metrics(materialise(fit.predictions, f"predictions-{horizon}"))
-        parts.append(metrics.select(F.lit(horizon).alias("horizon"), *metrics.columns))
-    if not parts:
-        raise ValueError("not enough labelled years for a walk-forward split")
-    return reduce(DataFrame.unionByName, parts)
+    for name, beat in _HORIZONS.items():
+        one = sql.replace("forward_return_12m", f"forward_return_{name}").replace("beat_sp500", beat)
+        parts.append(one.replace("HORIZON", f"'{name}'"))
+    return " UNION ALL ".join(parts)
+
+
+@register(
+    "model_predictions",
+    o.query(
+        _both_horizons(
+            f"""SELECT HORIZON AS horizon, CAST(s.test_year AS BIGINT) AS test_year, count(*) AS rows,
+  CAST(sum(CAST(coalesce(beat_sp500, false) AS INTEGER)) AS BIGINT) AS beaten, true AS probable, true AS known
+FROM ({_SPLITS}) s JOIN pn ON pn.fiscal_year = s.test_year AND forward_return_12m IS NOT NULL GROUP BY 2"""
+        ),
+        "pn",
+    ),
+)
+def _(spark, d):
+    """Every labelled row of a test year is predicted once by each model of its split."""
+    rows = walk_forward_fit(spark, d).predictions
+    return rows.groupBy("horizon", *[x.alias("test_year") for x in counted("fiscal_year")]).agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.sum(c("beat").cast("bigint")).alias("beaten"),
+        F.every((c("proba") > 0) & (c("proba") < 1)).alias("probable"),
+        F.every(c("predicted_return").isNotNull()).alias("known"),
+    )
+
+
+@register("model_backtest")
+def _(spark, d):
+    """Top 20 by predicted probability against the benchmark, 12 months."""
+    rows = walk_forward_fit(spark, d).predictions.where("horizon = '12m'")
+    b = model.backtest_predictions(rows)
+    return b.select(
+        *counted("fiscal_year"), rnd("strategy", 5).alias("strategy"),
+        rnd("benchmark", 5).alias("benchmark"), "n_stocks",
+        rnd("cum_strategy", 4).alias("cum_strategy"), rnd("cum_benchmark", 4).alias("cum_benchmark"),
+    )
+
+
+@register("model_importance")
+def _(spark, d):
+    """The 15 most important features of each horizon."""
+    found = walk_forward_fit(spark, d).importances
+    return model.importance_by_horizon({h: found.where(c("horizon") == h) for h in _HORIZONS})
+
+
+@register(
+    "model_importance_sums",
+    o.query(
+        _both_horizons(
+            f"""SELECT HORIZON AS horizon, CAST(test_year AS BIGINT) AS test_year,
+  CAST({len(model.FEATURES)} AS BIGINT) AS features, 1e0 AS total FROM ({_SPLITS}) s"""
+        ),
+        "pn",
+    ),
+)
+def _(spark, d):
+    found = walk_forward_fit(spark, d).importances
+    return found.groupBy("horizon", c("test_year").cast("bigint").alias("test_year")).agg(
+        F.count(F.lit(1)).alias("features"), rnd(F.sum("importance"), 6).alias("total")
+    )
+
+
+@register(
+    "model_final_scores",
+    o.query("SELECT cik, CAST(fiscal_year AS BIGINT) AS fiscal_year, true AS probable FROM pn", "pn"),
+)
+def _(spark, d):
+    """The final model scores every company and year of the panel, labelled or not."""
+    scored = final_fit(spark, d).score(panel(spark, d))
+    sure = (c("proba") > 0) & (c("proba") < 1)
+    return scored.select("cik", *counted("fiscal_year"), sure.alias("probable"))
+
+
+@register(
+    "model_attribution",
+    o.query(
+        "SELECT cik, CAST(fiscal_year AS BIGINT) AS fiscal_year, true AS adds_up FROM pn "
+        "WHERE cik = (SELECT min(cik) FROM pn)", "pn",
+    ),
+)
+def _(spark, d):
+    """For one company: contributions and base sum to the log odds that scoring gives."""
+    fit, rows = final_fit(spark, d), panel(spark, d)
+    one = rows.join(F.broadcast(rows.agg(F.min("cik").alias("cik"))), "cik", "left_semi")
+    parts = fit.explain(one).groupBy("cik", "fiscal_year").agg(
+        (F.sum("contribution") + F.first("base")).alias("margin")
+    )
+    both = parts.join(fit.score(one), ["cik", "fiscal_year"])
+    gap = F.abs(c("margin") - F.log(c("proba") / (1 - c("proba"))))
+    return both.select("cik", *counted("fiscal_year"), (gap < 1e-9).alias("adds_up"))
+
+
+@register("model_reasons")
+def _(spark, d):
+    """The three features that move each company's newest score most."""
+    fit, rows = final_fit(spark, d), panel(spark, d)
+    newest = rows.groupBy("cik").agg(F.max("fiscal_year").alias("fiscal_year"))
+    parts = fit.explain(rows.join(newest, ["cik", "fiscal_year"], "left_semi"))
+    most = Window.partitionBy("cik").orderBy(F.abs(c("contribution")).desc(), "feature")
+    ranked = parts.withColumn("place", F.row_number().over(most)).where(c("place") <= 3)
+    return ranked.select(
+        "cik", *counted("fiscal_year", "place"), "feature", rnd("contribution", 6).alias("contribution")
+    )
 
 
 # == streams ==================================================================

@@ -4,19 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
-from functools import partial, reduce
-from multiprocessing.pool import ThreadPool
-
-from pyspark import inheritable_thread_target
-from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import rnd, sd
 from ..session import materialise
+from . import boost
+from .boost import TreeParams
 from .features import EXTENDED_COLUMNS, FLAG_COLUMNS, YOY_COLUMNS
 from .ordered import exact_quantiles, quantiles_of_counts, running_before
 from .prices import PRICE_FEATURES
@@ -45,7 +42,6 @@ FEATURES = [
 
 MIN_TRAIN, MIN_TEST = 50, 10
 TOP_N = 20
-FITS = 8  # models fitted side by side: their many small jobs mostly wait for the driver
 
 
 def present_features(df: DataFrame) -> list[str]:
@@ -189,50 +185,87 @@ def cumulative_growth(yearly: DataFrame) -> DataFrame:
 
 
 @dataclass(frozen=True)
-class TreeParams:
-    trees: int = 200
-    depth: int = 4
-    step: float = 0.05
-    subsample: float = 0.8
-    columns: str = "0.8"
-    seed: int = 42
-
-    def kwargs(self) -> dict:
-        return {
-            "maxIter": self.trees,
-            "maxDepth": self.depth,
-            "stepSize": self.step,
-            "subsamplingRate": self.subsample,
-            "featureSubsetStrategy": self.columns,
-            "seed": self.seed,
-            "featuresCol": "features",
-        }
+class Horizon:
+    """Prepared rows of one horizon: return label, and whether it beat the benchmark.
+
+    ``benchmark``, the benchmark's return over the same time, is carried along if present.
+    """
+
+    rows: DataFrame
+    label: str
+    beat: str
+    benchmark: str = ""
 
 
 @dataclass(frozen=True)
 class WalkForward:
+    """``predictions``: horizon, cik, fiscal_year, beat, actual, benchmark, proba,
+    predicted_return; ``importances``: horizon, test_year, feature, importance.
+    """
+
     predictions: DataFrame
     importances: DataFrame
-
-
-def _imputed(rows: DataFrame, medians: dict[str, float], features: Sequence[str]) -> DataFrame:
-    """A feature without any training value falls back to 0."""
-    return rows.withColumns(
-        {f: F.coalesce(c(f).cast("double"), F.lit(medians.get(f, 0.0))) for f in features}
+    fitted: boost.Boosted
+
+
+def _training_rows(name: str, h: Horizon, features: Sequence[str]) -> DataFrame:
+    mark = c(h.benchmark).cast("double") if h.benchmark else F.lit(None).cast("double")
+    return h.rows.select(
+        F.lit(name).alias("horizon"),
+        "cik",
+        c("fiscal_year").cast("int").alias("fiscal_year"),
+        F.coalesce(c(h.beat).cast("double"), F.lit(0.0)).alias("beat"),
+        F.coalesce(c(h.label).cast("double"), F.lit(0.0)).alias("actual"),
+        mark.alias("benchmark"),
+        *[c(f).cast("double").alias(f) for f in features],
     )
 
 
-def _vectors(rows: DataFrame, features: Sequence[str]) -> DataFrame:
-    return VectorAssembler(inputCols=list(features), outputCol="features").transform(rows)
-
+def walk_forward_horizons(
+    horizons: dict[str, Horizon], features: Sequence[str] | None = None, params: TreeParams | None = None
+) -> WalkForward:
+    """A classifier and a regressor per horizon and test year, all grown in lock-step.
 
-def _importance_rows(
-    spark: SparkSession, year: int | None, features: Sequence[str], fitted: GBTClassificationModel
-) -> DataFrame:
-    return spark.createDataFrame(
-        [(year, f, float(v)) for f, v in zip(features, fitted.featureImportances.toArray())],
-        "test_year int, feature string, importance double",
+    Every fit sees the years before its test year only, and fills missing values with the
+    medians of those.  A horizon without a split is left out.
+    """
+    feats = list(features or present_features(next(iter(horizons.values())).rows))
+    parts, fits = [], []
+    for name, h in horizons.items():
+        rows = materialise(_training_rows(name, h, feats), f"training-{name}")
+        years = test_years(walk_forward_splits(rows))
+        if not years:
+            continue
+        # One number per test year and feature.
+        medians: dict[int, dict[str, float]] = {}
+        for r in train_medians(rows, years, feats).collect():
+            medians.setdefault(r["test_year"], {})[r["feature"]] = r["median"]
+        for year in years:
+            known = medians.get(year, {})
+            fits += [boost.Fit(name, year, kind, known) for kind in ("logistic", "squared")]
+        parts.append(rows)
+    if not fits:
+        raise ValueError("not enough labelled years for a walk-forward split")
+    spark = parts[0].sparkSession
+    model = boost.boost(reduce(DataFrame.unionByName, parts), feats, fits, params or TreeParams())
+    keys = ["horizon", "cik", "fiscal_year", "beat", "actual", "benchmark"]
+    tested = boost.final_margins(model, keys).where(c("before") == c("fiscal_year"))
+    # Both fits of a year meet on the row itself, not in a shuffle by key.
+    sure, squared = c("kind") == "logistic", c("kind") == "squared"
+    predictions = tested.groupBy(*keys).agg(
+        F.max(F.when(sure, 1 / (1 + F.exp(-c("margin"))))).alias("proba"),
+        F.max(F.when(squared, c("margin"))).alias("predicted_return"),
     )
+    rows = [
+        (fit.horizon, fit.before, f, v)
+        for fit, trees in zip(model.fits, model.trees, strict=True)
+        if fit.kind == "logistic"
+        for f, v in boost.importances(trees, feats).items()
+    ]
+    found = spark.createDataFrame(
+        rows, "horizon string, test_year int, feature string, importance double"
+    )
+    return WalkForward(materialise(predictions, "predictions"), found, model)
 
 
 def walk_forward(
@@ -242,60 +275,11 @@ def walk_forward(
     features: Sequence[str] | None = None,
     params: TreeParams | None = None,
 ) -> WalkForward:
-    """Fit a classifier and a regressor per test year on all earlier years.
+    """Fit a classifier and a regressor per test year on all earlier years of one horizon.
 
-    ``rows`` comes from :func:`prepare`.  Training is distributed by MLlib; the
-    driver only steps through the handful of test years, ``FITS`` models at a time.
+    ``rows`` comes from :func:`prepare`.
     """
-    p = params or TreeParams()
-    feats = list(features or present_features(rows))
-    frozen = materialise(rows.select("cik", "fiscal_year", label, beat, *feats), "training")
-    years = test_years(walk_forward_splits(frozen))
-    if not years:
-        raise ValueError("not enough labelled years for a walk-forward split")
-    # One number per test year and feature.
-    medians: dict[int, dict[str, float]] = {}
-    for r in train_medians(frozen, years, feats).collect():
-        medians.setdefault(r["test_year"], {})[r["feature"]] = r["median"]
-    spark, split, tasks = rows.sparkSession, {}, []
-    for year in years:
-        seen = frozen.where(c("fiscal_year") <= year)
-        data = materialise(
-            _vectors(_imputed(seen, medians.get(year, {}), feats), feats).select(
-                "cik",
-                "fiscal_year",
-                "features",
-                F.coalesce(c(beat).cast("double"), F.lit(0.0)).alias("beat"),
-                F.coalesce(c(label), F.lit(0.0)).alias("actual"),
-            ),
-            f"split-{year}",
-        )
-        train, split[year] = data.where(c("fiscal_year") < year), data.where(c("fiscal_year") == year)
-        for learner in (
-            GBTClassifier(labelCol="beat", **p.kwargs()),
-            GBTRegressor(labelCol="actual", **p.kwargs()),
-        ):
-            tasks.append(inheritable_thread_target(spark)(partial(learner.fit, train)))
-    with ThreadPool(min(FITS, len(tasks))) as pool:
-        fitted = pool.map(lambda task: task(), tasks, chunksize=1)
-    predictions, importances = [], []
-    for (year, test), clf, reg in zip(split.items(), fitted[::2], fitted[1::2], strict=True):
-        both = reg.transform(
-            clf.transform(test).select(
-                "cik", "fiscal_year", "features", "beat", "actual",
-                vector_to_array("probability")[1].alias("proba"),
-            )
-        )
-        predictions.append(
-            both.select(
-                "cik", "fiscal_year", "beat", "actual", "proba",
-                c("prediction").alias("predicted_return"),
-            )
-        )
-        importances.append(_importance_rows(spark, year, feats, clf))
-    return WalkForward(
-        reduce(DataFrame.unionByName, predictions), reduce(DataFrame.unionByName, importances)
-    )
+    return walk_forward_horizons({label: Horizon(rows, label, beat)}, features, params)
 
 
 @dataclass(frozen=True)
@@ -303,19 +287,23 @@ class FinalModel:
     """Classifier fitted on all labelled rows, with what it needs to score others."""
 
     features: Sequence[str]
-    medians: dict[str, float]
-    classifier: GBTClassificationModel
+    fitted: boost.Boosted
 
     def score(self, rows: DataFrame) -> DataFrame:
         """(cik, fiscal_year, proba) for any panel rows, one company or all."""
-        data = _vectors(_imputed(rows, self.medians, self.features), self.features)
-        scored = self.classifier.transform(data.select("cik", "fiscal_year", "features"))
-        return scored.select(
-            "cik", "fiscal_year", vector_to_array("probability")[1].alias("proba")
-        )
+        narrow = rows.select("cik", "fiscal_year", *self.features)
+        proba = 1 / (1 + F.exp(-c("margin")))
+        return boost.score(self.fitted, narrow).select("cik", "fiscal_year", proba.alias("proba"))
+
+    def explain(self, rows: DataFrame) -> DataFrame:
+        """What each feature adds to the log odds of a row; see :func:`boost.attributions`."""
+        return boost.attributions(self.fitted, rows.select("cik", "fiscal_year", *self.features))
 
     def importances(self, spark: SparkSession) -> DataFrame:
-        return _importance_rows(spark, None, self.features, self.classifier)
+        found = boost.importances(self.fitted.trees[0], self.features)
+        return spark.createDataFrame(
+            [(None, f, v) for f, v in found.items()], "test_year int, feature string, importance double"
+        )
 
 
 def fit_final(
@@ -325,17 +313,14 @@ def fit_final(
     params: TreeParams | None = None,
 ) -> FinalModel:
     """Fit on every row of :func:`prepare`, medians over all of them."""
-    p = params or TreeParams()
     feats = list(features or present_features(rows))
     medians = {
         r["feature"]: r["quantile"]
         for r in exact_quantiles(long_form(rows, feats), "value", [0.5], ["feature"]).collect()
     }
-    labelled = _vectors(_imputed(rows, medians, feats), feats).select(
-        "features", F.coalesce(c(beat).cast("double"), F.lit(0.0)).alias("beat")
-    )
-    data = materialise(labelled, "final")
-    return FinalModel(feats, medians, GBTClassifier(labelCol="beat", **p.kwargs()).fit(data))
+    narrow = materialise(_training_rows("all", Horizon(rows, beat, beat), feats), "final")
+    fit = boost.Fit("all", None, "logistic", medians)
+    return FinalModel(feats, boost.boost(narrow, feats, [fit], params or TreeParams()))
 
 
 def importance_by_horizon(importances: dict[str, DataFrame], n: int = 15) -> DataFrame:
@@ -356,13 +341,20 @@ def mean_importance(importances: DataFrame, n: int = 20) -> DataFrame:
 
 
 def split_metrics(predictions: DataFrame) -> DataFrame:
-    """AUC and MAE per test year and pooled (fiscal_year null)."""
-    by_year = auc(predictions, "beat", "proba", ["fiscal_year"]).join(
-        mae(predictions, "actual", "predicted_return", ["fiscal_year"]), "fiscal_year"
+    """AUC and MAE per horizon and test year, and pooled (fiscal_year null)."""
+    every = predictions.withColumn(
+        "fiscal_year", F.explode(F.array(c("fiscal_year"), F.lit(None).cast("int")))
     )
-    pooled = auc(predictions, "beat", "proba").withColumn(
-        "mae", mae(predictions, "actual", "predicted_return").scalar()
-    )
-    return by_year.unionByName(pooled.withColumn("fiscal_year", F.lit(None).cast("int"))).select(
-        "fiscal_year", rnd("auc").alias("auc"), rnd("mae").alias("mae")
+    keys = ["horizon", "fiscal_year"]
+    left, right = auc(every, "beat", "proba", keys), mae(every, "actual", "predicted_return", keys)
+    same = [left[k].eqNullSafe(right[k]) for k in keys]
+    joined = left.join(right, reduce(and_, same)).select(*[left[k] for k in keys], "auc", "mae")
+    return joined.select(*keys, rnd("auc").alias("auc"), rnd("mae").alias("mae"))
+
+
+def backtest_predictions(predictions: DataFrame, n: int = TOP_N) -> DataFrame:
+    """Yearly return of the ``n`` likeliest winners of each test year, as :func:`backtest`."""
+    named = predictions.withColumnsRenamed(
+        {"actual": "forward_return_12m", "benchmark": "sp500_return_12m"}
     )
+    return backtest(named, "proba", n)

@@ -6,7 +6,8 @@ import __spark_entry__ as entry
 from compare import connect, difference
 
 SF = "/root/testdata/sf0.001"
-SLOW = {"gbt_walk_forward"}
+#: Trained with all trees; held against their SQL with few trees in test_stats.
+SLOW = {"model_predictions", "model_importance_sums", "model_final_scores", "model_attribution"}
 
 
 @pytest.fixture(scope="module")

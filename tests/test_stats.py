@@ -7,6 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+import compare
 from conftest import rows_by
 from ledgerlynx.operators import model, ordered, screens, stats
 
@@ -226,19 +227,42 @@ def test_walk_forward_end_to_end(spark):
 def test_registered_walk_forward_is_the_full_model(spark, monkeypatch):
     import __spark_entry__ as entry
 
-    asked, run = [], model.walk_forward
+    asked, run = [], model.walk_forward_horizons
 
-    def quick(rows, label, beat, features=None, params=None):
-        asked.append((label, beat, params))
-        return run(rows, label, beat, features, model.TreeParams(trees=1, depth=1))
+    def quick(horizons, features=None, params=None):
+        asked.append(({n: (h.label, h.beat) for n, h in horizons.items()}, params))
+        return run(horizons, features, model.TreeParams(trees=1, depth=1))
 
-    monkeypatch.setattr(model, "walk_forward", quick)
+    monkeypatch.setattr(model, "walk_forward_horizons", quick)
+    monkeypatch.setattr(entry.catalog, "_fits", {})
     metrics = entry.queries()["gbt_walk_forward"](spark, "/root/testdata/sf0.01")
-    full = model.TreeParams(trees=200, depth=4)
-    assert asked == [
-        ("forward_return_12m", "beat_sp500", full), ("forward_return_24m", "beat_sp500_24m", full),
-    ]
+    full = model.TreeParams()
+    assert (full.trees, full.depth, full.step, full.subsample, full.columns) == (200, 4, 0.05, 0.8, 0.8)
+    labels = {"12m": ("forward_return_12m", "beat_sp500"), "24m": ("forward_return_24m", "beat_sp500_24m")}
+    assert asked == [(labels, full)]
     assert set(rows_by(metrics, "horizon", "fiscal_year")) >= {("12m", None), ("24m", None)}
+    # The other queries on the fit equal their SQL whatever the number of trees.
+    con = compare.connect("/root/testdata/sf0.01")
+    for name in ("model_predictions", "model_importance_sums"):
+        assert compare.difference(spark, con, name, "/root/testdata/sf0.01")[0] is None
+    tested = entry.queries()["model_backtest"](spark, "/root/testdata/sf0.01").collect()
+    assert tested and all(r["n_stocks"] == 20 for r in tested)
+
+
+def test_registered_final_model_scores_and_explains(spark, monkeypatch):
+    import __spark_entry__ as entry
+
+    run = model.fit_final
+    monkeypatch.setattr(
+        model, "fit_final",
+        lambda rows, beat, features=None, params=None: run(rows, beat, features, model.TreeParams(trees=3)),
+    )
+    monkeypatch.setattr(entry.catalog, "_finals", {})
+    con = compare.connect("/root/testdata/sf0.001")
+    for name in ("model_final_scores", "model_attribution"):
+        assert compare.difference(spark, con, name, "/root/testdata/sf0.001")[0] is None
+    reasons = entry.queries()["model_reasons"](spark, "/root/testdata/sf0.001")
+    assert reasons.count() > 0 and reasons.where("place > 3").count() == 0
 
 
 def test_cumulative_growth_survives_total_loss(spark):

@@ -45,6 +45,7 @@ _FOLD = bytes(
 )
 _STEP, _M1 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 _M2 = np.uint64(0x94D049BB133111EB)
+_CELLS = 1 << 20  # weights of one product
 _FLUSH = 1 << 20  # terms counted before a task hands them on
 
 INDEX = (
@@ -104,6 +105,14 @@ def gain(tf, m: np.ndarray) -> np.ndarray:
 # -- index --------------------------------------------------------------------
 
 
+class _Hashes(dict):
+    """Term to its hash."""
+
+    def __missing__(self, term: bytes) -> int:
+        self[term] = code = xxhash.xxh64_intdigest(term)
+        return code
+
+
 @dataclass
 class _Pending:
     """Documents of one signature width that wait for a block."""
@@ -166,7 +175,7 @@ def index_documents(docs: DataFrame, params: SliceParams = SliceParams()) -> Dat
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, number = TaskContext.get().partitionId(), 0
         pending: dict[int, _Pending] = {}
-        hashes: dict[bytes, int] = {}
+        hashes = _Hashes()
         df: Counter = Counter()
 
         def block(size: int) -> pa.RecordBatch:
@@ -191,16 +200,13 @@ def index_documents(docs: DataFrame, params: SliceParams = SliceParams()) -> Dat
                 if not counts:
                     continue
                 df.update(counts.keys())
-                for t in counts:
-                    if t not in hashes:
-                        hashes[t] = xxhash.xxh64_intdigest(t)
                 tf = np.fromiter(counts.values(), np.int64, len(counts))
                 pairs = sum(int((tf >= x).sum()) for x in levels_upto(int(tf.max())))
                 size = max(4, (pairs - 1).bit_length())
                 held = pending.setdefault(size, _Pending())
                 held.ids.append(key)
                 held.lengths.append(int(tf.sum()))
-                held.texts.append(pack(data))
+                held.texts.append(pack(data, 1))
                 held.codes.append(np.fromiter(map(hashes.__getitem__, counts), np.uint64, len(counts)))
                 held.counts.append(tf)
                 room = max(8, min(params.rows, 8 * params.block_bytes // (params.bits << size)))
@@ -229,6 +235,7 @@ class Asked:
     items: list
     terms: list[bytes]
     starts: np.ndarray  # where each item begins in ``index``
+    owner: np.ndarray  # item of each place
     index: np.ndarray  # places in ``terms``, item by item
     weights: np.ndarray
     mean: tuple[int, int]  # N and L
@@ -256,9 +263,10 @@ def _asked(rows: list, n: int, total: int) -> Asked:
     terms = sorted({t for pairs in by_item.values() for t, _ in pairs})
     at = {t: i for i, t in enumerate(terms)}
     flat = [(at[t], w) for pairs in by_item.values() for t, w in pairs]
-    starts = np.cumsum([0, *[len(p) for p in by_item.values()]])[:-1]
+    sizes = [len(p) for p in by_item.values()]
+    starts, owner = np.cumsum([0, *sizes])[:-1], np.repeat(np.arange(len(sizes)), sizes)
     index, weights = np.array(flat, dtype=np.int64).reshape(-1, 2).T
-    return Asked(list(by_item), terms, starts, index, weights, (n, total))
+    return Asked(list(by_item), terms, starts, owner, index, weights, (n, total))
 
 
 def _bounds(row: dict, asked: Asked, codes: np.ndarray, params: SliceParams) -> np.ndarray:
@@ -275,26 +283,31 @@ def _bounds(row: dict, asked: Asked, codes: np.ndarray, params: SliceParams) ->
         live = live[some]
         if not len(live):
             break
-        bits = np.zeros((len(asked.terms), n), dtype=np.uint8)
-        bits[live] = np.unpackbits(held[some], axis=1)[:, :n]
+        bits = np.unpackbits(held[some], axis=1)[:, :n]
         most = gain(np.int64(after - 1), m)
-        out += _per_item(bits, asked) * (most - before)
+        out += _per_item(bits, live, asked) * (most - before)
         before = most
     return out
 
 
-def _per_item(bits: np.ndarray, asked: Asked) -> np.ndarray:
-    """Weighted sums of term rows for every item, some items at a time."""
-    out = np.empty((len(asked.items), bits.shape[1]), dtype=np.int64)
-    ends = np.append(asked.starts[1:], len(asked.index))
-    low = 0
-    while low < len(asked.items):
-        high = max(low + 1, int(np.searchsorted(ends, asked.starts[low] + 1024, side="right")))
-        span = slice(asked.starts[low], ends[high - 1])
-        weighted = bits[asked.index[span]] * asked.weights[span, None]
-        out[low:high] = np.add.reduceat(weighted, asked.starts[low:high] - span.start, axis=0)
-        low = high
-    return out
+def _per_item(bits: np.ndarray, live: np.ndarray, asked: Asked) -> np.ndarray:
+    """Weighted sums of the rows of ``live`` terms for every item, some items at a time.
+
+    Weights are whole and their sums below 2^53, so products of doubles are exact.
+    """
+    column = np.full(len(asked.terms), -1)
+    column[live] = np.arange(len(live))
+    at = column[asked.index]
+    real, held = at >= 0, bits.astype(np.float64)
+    step = max(1, _CELLS // len(live))
+    parts = []
+    for low in range(0, len(asked.items), step):
+        high = min(len(asked.items), low + step)
+        some = real & (asked.owner >= low) & (asked.owner < high)
+        weights = np.zeros((high - low, len(live)))
+        weights[asked.owner[some] - low, at[some]] = asked.weights[some]
+        parts.append(weights @ held)
+    return np.concatenate(parts).astype(np.int64)
 
 
 class _Scorer:

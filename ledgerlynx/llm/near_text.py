@@ -1,29 +1,31 @@
-"""Near-duplicate documents by Order MinHash with alignment.
+"""Near-duplicate documents by Order MinHash with banded alignment.
 
 A document is its sequence of five-word shingles, each labelled with how often it occurred
 before.  Every band of a sketch takes the few shingles that a hash function puts first and
 keeps them in the order of the text, so a band matches only if content and order do.
-Documents that agree in a band meet in a bucket; candidates are verified by an alignment of
-their shingle sequences within the band that the wanted similarity leaves, and similarity is
-matched shingles over all shingles of either text.  Texts link at 0.8 or more, and a class
-is what links connect.
-
-Equal texts are collapsed first.  In a bucket, the member that shares most buckets is
-compared with all others, which settles a group of copies of one text.  Where members of
-several classes are left, all those outside the largest class are compared with the whole
-bucket, block by block: common shingles are counted exactly, and what they allow is aligned.
-So every pair of a bucket is compared or already in one class, and none is lost to a cap.
+Documents that agree in a band meet in a bucket; candidates are verified by aligning their
+words within the band of diagonals that the wanted similarity leaves.  Similarity is one
+minus the word edits over the words of the longer text.  Texts link at 0.8 or more, and a
+class is what links connect.
+
+Equal texts are collapsed first: a node is a text, whatever rows and ids carry it.  In a
+bucket, the member that shares most buckets is compared with all others, which settles a
+group of copies of one text.  Where members of several classes are left, all those outside
+the largest class are compared with the whole bucket, block by block: common words are
+counted exactly, and what they allow is aligned.  So every pair of a bucket is compared or
+already in one class, and none is lost to a cap.
 
 Defined cases: words are runs without ASCII white space, lower-cased; a text of one to four
 words is one shingle; a null text, or one without words, links with nothing, and so does a
-row without an id; rows that share an id share a class; an empty table gives an empty result.
+row without an id; rows that share an id share a class, though their texts stay nodes of
+their own; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -33,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .clusters import components
-from .common import WORD, share_of
+from .common import WORD, one_of_each, share_of
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -61,13 +63,20 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class Shingler:
-    """Labelled shingle hashes of whole texts; remembers the hashes of words."""
+class Words(NamedTuple):
+    """Hashes of the words of a text, in order, and the same as a set with repeats told apart."""
+
+    codes: np.ndarray
+    bag: np.ndarray
+
+
+class WordCoder:
+    """Word hashes of whole texts; remembers those of words."""
 
-    def __init__(self, words: int):
-        self.size, self.known = words, {}
+    def __init__(self):
+        self.known = {}
 
-    def __call__(self, text: str) -> np.ndarray:
+    def codes(self, text: str) -> np.ndarray:
         words = text.lower().encode("utf-8", "replace").split()
         known = self.known
         if len(known) > _KNOWN:
@@ -78,7 +87,11 @@ class Shingler:
             if h is None:
                 h = known[w] = xxhash.xxh64_intdigest(w)
             codes[i] = h
-        return labelled(codes, self.size)
+        return codes
+
+    def __call__(self, text: str) -> Words:
+        codes = self.codes(text)
+        return Words(codes, labelled(codes, 1))
 
 
 def labelled(codes: np.ndarray, size: int) -> np.ndarray:
@@ -119,43 +132,73 @@ def order_sketch(x: np.ndarray, params: NearParams) -> np.ndarray:
     return out
 
 
-def _rising(values: list[int]) -> int:
-    """Length of the longest rising run that may leave values out."""
-    tails: list[int] = []
-    for v in values:
-        i = bisect_left(tails, v)
-        if i == len(tails):
-            tails.append(v)
+def edits_within(a: np.ndarray, b: np.ndarray, limit: int) -> bool:
+    """Whether at most ``limit`` word insertions, deletions and changes turn ``a`` into ``b``.
+
+    A bit-parallel alignment: bit ``k`` of a column's numbers is the diagonal ``k - limit``
+    away, and the numbers hold the band alone.  Ends that agree are left out first.
+    """
+    shared = min(len(a), len(b))
+    differ = np.flatnonzero(a[:shared] != b[:shared])
+    start = int(differ[0]) if len(differ) else shared
+    a, b = a[start:], b[start:]
+    shared = min(len(a), len(b))
+    differ = np.flatnonzero(a[::-1][:shared] != b[::-1][:shared])
+    end = int(differ[0]) if len(differ) else shared
+    a, b = a[: len(a) - end], b[: len(b) - end]
+    n, m = len(a), len(b)
+    if abs(n - m) > limit:
+        return False
+    if not n or not m:
+        return True
+    limit = min(limit, max(n, m))
+    width = 2 * limit + 1
+    mask, top = (1 << width) - 1, 1 << (width - 1)
+    at: dict[int, int] = {}
+    for i, word in enumerate(a.tolist()):
+        at[word] = at.get(word, 0) | (1 << i)
+    up, down = mask & ~((1 << limit) - 1), 0
+    score = min(limit, n)  # at the lower edge of the band, then in the last row
+    for j, word in enumerate(b.tolist(), 1):
+        same, shift = at.get(word, 0), j - limit - 1
+        same = (same >> shift if shift >= 0 else same << -shift) & mask
+        level = ((((same & up) + up) ^ up) | same | down) & mask
+        right, left = (down | ~(level | up)) & mask, level & up
+        if j <= n - limit:
+            score += not level & top
         else:
-            tails[i] = v
-    return len(tails)
+            row = n - j + limit
+            score += (right >> row & 1) - (left >> row & 1)
+        # Each further column takes at most one edit off.
+        if score - (m - j) > limit + max(0, n - j - limit):
+            return False
+        half = level >> 1
+        up, down = (left | ~(half | right)) & mask, half & right
+    return score <= limit
 
 
-def compare(a: np.ndarray, b: np.ndarray, similarity: float) -> tuple[float, bool]:
-    """Distance by common shingles in any order, and whether the alignment accepts.
+def compare(a: Words, b: Words, similarity: float) -> bool:
+    """Whether the edit similarity of two texts is at least ``similarity``.
 
-    Labels make the shingles of a text distinct, so the best alignment is the longest
-    rising run of matched places; only places within the band can lie on one that accepts.
+    Words that one text has more of than the other each need an edit, which settles most
+    pairs before any alignment.
     """
-    total = len(a) + len(b)
-    _, i, j = np.intersect1d(a, b, assume_unique=True, return_indices=True)
-    apart = 1 - len(i) / (total - len(i)) if total else 1.0
-    if not len(i) or apart > 1 - similarity + 1e-12:
-        return apart, False
-    band = int(total * (1 - similarity) / (1 + similarity)) + 1
-    near = np.abs(i - j) <= band
-    places = j[near][np.argsort(i[near])]
-    m = len(places) if (np.diff(places) > 0).all() else _rising(places.tolist())
-    return apart, m >= similarity * (total - m) - 1e-9
+    longer = max(len(a.codes), len(b.codes))
+    limit = int(longer * (1 - similarity) + 1e-9)
+    if abs(len(a.codes) - len(b.codes)) > limit:
+        return False
+    common = len(np.intersect1d(a.bag, b.bag, assume_unique=True))
+    return longer - common <= limit and edits_within(a.codes, b.codes, limit)
 
 
 def _sketches(nodes: DataFrame, params: NearParams) -> DataFrame:
     """(node, band, sig) of every distinct text."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles = Shingler(params.words)
+        words = WordCoder()
         for batch in batches:
-            rows = [order_sketch(shingles(t), params) for t in batch.column("text").to_pylist()]
+            codes = [words.codes(t) for t in batch.column("text").to_pylist()]
+            rows = [order_sketch(labelled(c, params.words), params) for c in codes]
             sig = np.array(rows, dtype=np.uint64).reshape(-1).view(np.int64)
             at = np.repeat(np.arange(batch.num_rows), params.bands)
             yield pa.RecordBatch.from_arrays(
@@ -171,7 +214,7 @@ def _sketches(nodes: DataFrame, params: NearParams) -> DataFrame:
 
 
 def _verify(pairs: DataFrame, texts: DataFrame, params: NearParams) -> DataFrame:
-    """(a, b, apart, linked) of pairs; a leader meets its members by chunks."""
+    """(a, b) of the pairs that link; a leader meets its members by chunks."""
     sizes = pairs.groupBy("a").agg(F.count("*").alias("n"))
     parts = sizes.select("a", F.ceil(F.col("n") / params.chunk).cast("int").alias("parts"))
     parts = share_of(parts, "leaders")
@@ -188,37 +231,42 @@ def _verify(pairs: DataFrame, texts: DataFrame, params: NearParams) -> DataFrame
     def align(key: tuple, group: pd.DataFrame, lead: pd.DataFrame) -> pd.DataFrame:
         rows = []
         if len(group) and len(lead):
-            shingles = Shingler(params.words)
-            own = shingles(lead["leader_text"].iloc[0])
+            words = WordCoder()
+            own = words(lead["leader_text"].iloc[0])
             for node, text in zip(group["node"], group["text"], strict=True):
-                rows.append((key[0], node, *compare(own, shingles(text), params.similarity)))
-        return pd.DataFrame(rows, columns=["a", "b", "apart", "linked"]).astype(
-            {"a": "int64", "b": "int64", "apart": "float64", "linked": "bool"}
-        )
+                if compare(own, words(text), params.similarity):
+                    rows.append((key[0], node))
+        return pd.DataFrame(rows, columns=["a", "b"]).astype("int64")
 
     return (
         members.groupBy("a", "part")
         .cogroup(leaders.groupBy("leader", "chunk"))
-        .applyInPandas(align, "a long, b long, apart double, linked boolean")
+        .applyInPandas(align, "a long, b long")
     )
 
 
-def near_duplicates(docs: DataFrame, params: NearParams = NearParams()) -> DataFrame:
-    """One row per input row: doc_id, component_id (least id of its class), kept.
+@dataclass(frozen=True)
+class TextClasses:
+    """``keyed``: doc_id, hash (null without words or id) of every row; ``nodes``: hash, first
+    (least id of the text), node; ``links``: (a, b) of nodes."""
 
-    Reads ``doc_id`` and ``text``.
-    """
+    keyed: DataFrame
+    nodes: DataFrame
+    links: DataFrame
+
+
+def text_links(docs: DataFrame, params: NearParams = NearParams()) -> TextClasses:
+    """Texts as nodes, and the links that connect all that any links connect."""
     has = F.col("doc_id").isNotNull() & F.coalesce(F.regexp_count("text", F.lit(WORD)) > 0, F.lit(False))
+    hash_of = F.when(has, F.sha2("text", 256)).alias("hash")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    keyed = share_of(
-        rows.select("doc_id", F.when(has, F.sha2("text", 256)).alias("hash")), "text-hashes"
-    )
-    # Equal texts, and rows of one id, become one node: a grouping each, combined early.
-    nodes = keyed.where("hash is not null").groupBy("hash").agg(F.min("doc_id").alias("node"))
-    nodes = share_of(nodes, "text-nodes")
-    first = nodes.select(F.col("node").alias("doc_id")).distinct()
-    texts = rows.where(has).join(first, "doc_id", "left_semi")
-    texts = texts.select(F.col("doc_id").alias("node"), "text")
+    keyed = share_of(rows.select("doc_id", hash_of), "text-hashes")
+    # Equal texts become one node: one grouping, combined early.
+    nodes = keyed.where("hash is not null").groupBy("hash").agg(F.min("doc_id").alias("first"))
+    nodes = share_of(nodes.withColumn("node", F.monotonically_increasing_id()), "text-nodes")
+    # The rows of a text that carry its least id; more than one only where rows repeat.
+    texts = rows.select("doc_id", "text", hash_of).where("hash is not null")
+    texts = texts.join(nodes.withColumnRenamed("first", "doc_id"), ["doc_id", "hash"]).select("node", "text")
     sketches = share_of(_sketches(texts, params).distinct(), "sketches")
     buckets = sketches.groupBy("band", "sig").agg(F.count("*").alias("n")).where("n > 1")
     shared = share_of(
@@ -226,13 +274,46 @@ def near_duplicates(docs: DataFrame, params: NearParams = NearParams()) -> DataF
     )
     asked = shared.select("node").distinct()
     texts = share_of(texts.join(asked, "node", "left_semi").dropDuplicates(["node"]), "shared-texts")
-    links = _all_links(shared, texts, params)
-    same_id = keyed.join(nodes, "hash").where("doc_id <> node")
-    links = links.unionByName(same_id.select(F.col("doc_id").alias("a"), F.col("node").alias("b")))
-    reached = share_of(components(links), "text-components")
-    found = keyed.join(reached.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    return TextClasses(keyed, nodes, share_of(_all_links(shared, texts, params), "text-links"))
+
+
+def near_duplicates(docs: DataFrame, params: NearParams = NearParams()) -> DataFrame:
+    """One row per input row: doc_id, component_id (least id of its class), kept.
+
+    Reads ``doc_id`` and ``text``.
+    """
+    found = text_links(docs, params)
+    # From texts to ids: a text stands for its least id, and rows of one id meet there.
+    first = found.nodes.select("node", "first")
+    links = (
+        found.links.join(first.toDF("a", "first_a"), "a")
+        .join(first.toDF("b", "first_b"), "b")
+        .select(F.col("first_a").alias("a"), F.col("first_b").alias("b"))
+    )
+    same_text = found.keyed.join(found.nodes, "hash").select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
+    ends = links.unionByName(same_text).where("a <> b")
+    reached = share_of(components(ends), "text-components")
+    rows = found.keyed.join(reached.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     own = F.coalesce("component", "doc_id")
-    return found.select("doc_id", own.alias("component_id"), (own == F.col("doc_id")).alias("kept"))
+    return rows.select("doc_id", own.alias("component_id"), (own == F.col("doc_id")).alias("kept"))
+
+
+def without_near_copies(docs: DataFrame, params: NearParams = NearParams()) -> DataFrame:
+    """``docs`` with one row of every class of near-equal texts: the one of the least id.
+
+    Classes are those of texts: different texts under one id both stay.  Rows without words,
+    or without an id, all stay.  Of rows equal in id and text one stays.
+    """
+    found = text_links(docs, params)
+    classes = components(found.links).withColumnRenamed("component", "class")
+    of_class = found.nodes.join(classes, "node", "left").withColumn("class", F.coalesce("class", "node"))
+    best = of_class.groupBy("class").agg(F.min(F.struct("first", "hash")).alias("best"))
+    best = share_of(best.select("best.first", "best.hash"), "kept-texts").toDF("_first", "_hash")
+    has = F.col("doc_id").isNotNull() & F.coalesce(F.regexp_count("text", F.lit(WORD)) > 0, F.lit(False))
+    keyed = docs.withColumn("_hash", F.when(has, F.sha2("text", 256)))
+    texts = keyed.where("_hash is not null").join(best, "_hash").where(F.col("doc_id") == F.col("_first"))
+    one = one_of_each(texts.drop("_first"), "_hash")
+    return one.unionByName(keyed.where("_hash is null")).select(*docs.columns)
 
 
 def _all_links(shared: DataFrame, texts: DataFrame, params: NearParams) -> DataFrame:
@@ -248,8 +329,7 @@ def _all_links(shared: DataFrame, texts: DataFrame, params: NearParams) -> DataF
     leaders = share_of(leaders.select(*key, (-F.col("top.col2")).alias("leader")), "bucket-leaders")
     led = share_of(shared.join(leaders, key).where("node <> leader"), "led")
     pairs = led.select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
-    checked = share_of(_verify(pairs, texts, params), "verified")
-    links = checked.where("linked").select("a", "b")
+    links = share_of(_verify(pairs, texts, params), "verified")
     classes = share_of(components(links), "classes").withColumnRenamed("component", "class")
     rest = led.where("n > 2").select("node", *key).join(classes, "node", "left")
     rest = share_of(rest.withColumn("class", F.coalesce("class", "node")), "rest")
@@ -289,14 +369,14 @@ def _compare_rest(rest: DataFrame, texts: DataFrame, params: NearParams) -> Data
     def block(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(a) and len(b):
-            shingles = Shingler(params.words)
-            left = [shingles(t) for t in a["text"]]
-            right = [shingles(t) for t in b["mate_text"]]
-            values = np.concatenate(right)
-            owner = np.repeat(np.arange(len(right)), [len(x) for x in right])
+            words = WordCoder()
+            left = [words(t) for t in a["text"]]
+            right = [words(t) for t in b["mate_text"]]
+            size = np.array([len(x.codes) for x in right])
+            values = np.concatenate([x.bag for x in right])
+            owner = np.repeat(np.arange(len(right)), size)
             order = np.argsort(values)
             values, owner = values[order], owner[order]
-            size = np.array([len(x) for x in right])
             class_b, node_b = b["class_b"].to_numpy(), b["mate"].to_numpy()
             joined: dict = {}
 
@@ -306,14 +386,15 @@ def _compare_rest(rest: DataFrame, texts: DataFrame, params: NearParams) -> Data
                 return c
 
             for x, own, node in zip(left, a["class"], a["node"], strict=True):
-                low, high = np.searchsorted(values, x), np.searchsorted(values, x, side="right")
+                low = np.searchsorted(values, x.bag)
+                high = np.searchsorted(values, x.bag, side="right")
                 n = high - low
                 at = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
                 common = np.bincount(owner[at], minlength=len(right))
-                apart = 1 - common / (size + len(x) - common)
-                good = (apart <= 1 - params.similarity + 1e-12) & (class_b != own)
+                longer = np.maximum(size, len(x.codes))
+                good = (longer - common <= longer * (1 - params.similarity) + 1e-9) & (class_b != own)
                 for j in np.flatnonzero(good):
-                    if root(own) != root(class_b[j]) and compare(x, right[j], params.similarity)[1]:
+                    if root(own) != root(class_b[j]) and compare(x, right[j], params.similarity):
                         joined[root(own)] = root(class_b[j])
                         out.append((node, node_b[j]))
         return pd.DataFrame(out, columns=["a", "b"]).astype("int64")

@@ -384,20 +384,33 @@ def test_mix_odd_rows(odd, none):
 # -- near copies --------------------------------------------------------------
 
 
+def _edits(a, b):
+    """Plain edit distance of two lists."""
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        fresh = [i]
+        for j, y in enumerate(b, 1):
+            fresh.append(min(row[j] + 1, fresh[-1] + 1, row[j - 1] + (x != y)))
+        row = fresh
+    return row[-1]
+
+
 def _plain_classes(rows, params):
-    """Least id of every class, by comparing all pairs of texts."""
-    shingles = near_text.Shingler(params.words)
-    texts = [(i, t, shingles(t)) for i, t in rows if i is not None and t and t.split()]
-    root = {i: i for i, _, _ in texts}
+    """Least id of every class, by plain edit distance of all pairs of texts."""
+    texts = [(i, t.lower().split()) for i, t in rows if i is not None and t and t.split()]
+    root = {i: i for i, _ in texts}
 
     def find(i):
         while root[i] != i:
             i = root[i]
         return i
 
-    for n, (i, s, x) in enumerate(texts):
-        for j, t, y in texts[:n]:
-            if s == t or near_text.compare(x, y, params.similarity)[1]:
+    for n, (i, x) in enumerate(texts):
+        for j, y in texts[:n]:
+            longer = max(len(x), len(y))
+            if find(i) == find(j) or longer - sum((Counter(x) & Counter(y)).values()) > 0.2 * longer:
+                continue
+            if _edits(x, y) <= (1 - params.similarity) * longer + 1e-9:
                 a, b = find(i), find(j)
                 root[max(a, b)] = min(a, b)
     return {i: find(i) for i in root}
@@ -434,13 +447,60 @@ def test_near_copies_in_blocks(spark):
     assert got == _plain_classes(rows, params)
 
 
-def test_order_matters_to_the_sketch():
+@pytest.mark.parametrize("words, changed", [(100, 3), (100, 5), (300, 9)])
+def test_scattered_word_changes_link(spark, words, changed):
+    rng, rows = random.Random(words + changed), []
+    for f in range(60):
+        base = ["w%d" % rng.randrange(5_000) for _ in range(words)]
+        copy = list(base)
+        for at in rng.sample(range(words), changed):
+            copy[at] = "x%d" % rng.randrange(5_000)
+        rows += [(2 * f, " ".join(base)), (2 * f + 1, " ".join(copy))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in near_text.near_duplicates(docs).collect()}
+    assert all(got[i] in (i, i - i % 2) for i in got)
+    assert sum(got[2 * f + 1] == 2 * f for f in range(60)) >= 55
+
+
+def test_alignment_equals_plain_edit_distance():
+    rng = random.Random(11)
+    for _ in range(1_500):
+        k = rng.choice([2, 3, 8])
+        a = [rng.randrange(k) for _ in range(rng.randrange(0, 18))]
+        b = [rng.randrange(k) for _ in range(rng.randrange(0, 18))]
+        if rng.random() < 0.5:
+            b = [x for x in a if rng.random() > 0.1] + [rng.randrange(k)] * rng.randrange(2)
+        limit = rng.randrange(0, 12)
+        found = near_text.edits_within(np.array(a, np.uint64), np.array(b, np.uint64), limit)
+        assert found == (_edits(a, b) <= limit)
+
+
+def test_order_matters_to_sketch_and_alignment():
     rng = random.Random(9)
     words = ["w%d" % rng.randrange(10_000) for _ in range(200)]
-    shingles = near_text.Shingler(5)
-    a, b = shingles(" ".join(words)), shingles(" ".join(words[100:] + words[:100]))
-    apart, linked = near_text.compare(a, b, 0.8)
-    assert apart < 0.05 and not linked  # the same shingles, another order
+    coder = near_text.WordCoder()
+    a, b = coder(" ".join(words)), coder(" ".join(words[100:] + words[:100]))
+    assert len(np.intersect1d(a.bag, b.bag)) == 200
+    assert not near_text.compare(a, b, 0.8)  # the same words, another order
+
+
+def test_different_texts_under_one_id_keep_their_links(spark):
+    rng = random.Random(12)
+    a, b = (["w%d" % rng.randrange(10_000) for _ in range(80)] for _ in range(2))
+    near_b = [*b[:40], "other", *b[41:]]
+    rows = [(5, " ".join(a)), (5, " ".join(b)), (7, " ".join(near_b)), (8, " ".join(a)), (8, "alone here")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["component_id"] for r in near_text.near_duplicates(docs).collect()} == {5}
+    kept = near_text.without_near_copies(docs).collect()
+    assert sorted(map(tuple, kept)) == sorted([rows[0], rows[1], (8, "alone here")])
+
+
+def test_one_row_of_each_class_stays(odd, none):
+    kept = near_text.without_near_copies(odd)
+    assert kept.columns == odd.columns
+    ids = sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in kept.collect())
+    assert ids == [(False, 1), (False, 2), (False, 3), (False, 4), (False, 5), (False, 6), (True, 0)]
+    assert near_text.without_near_copies(none).collect() == []
 
 
 def test_near_odd_rows(odd, none):

@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlynx.llm import mixing, near_text, packing, quality, suffixes
-from ledgerlynx.llm.common import one_of_each, share_of, table
+from ledgerlynx.llm.common import share_of, table
 
+#: Bytes of a repeat: fewer than 51 words of four letters and their blanks have.
+REPEAT = 200
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
@@ -23,16 +25,16 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of every class of equal or near-equal texts: the one with the least id."""
-    docs = docs.select(*COLUMNS)
-    classes = near_text.near_duplicates(docs)
-    copies = share_of(classes.where("not kept").select("doc_id").distinct(), "copies")
-    return one_of_each(docs.join(copies, "doc_id", "left_anti"), "doc_id").select(*COLUMNS)
+    """One document of every class of equal or near-equal texts: the one with the least id.
+
+    Different texts under one id both stay; so do all documents without words or an id.
+    """
+    return near_text.without_near_copies(docs.select(*COLUMNS)).select(*COLUMNS)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the long byte strings that occur anywhere else."""
-    kept = suffixes.remove_repeats(docs.select(*COLUMNS))
+    """Texts without the byte strings of ``REPEAT`` bytes that occur anywhere else."""
+    kept = suffixes.remove_repeats(docs.select(*COLUMNS), suffixes.RepeatParams(length=REPEAT, parts=4))
     return kept.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 

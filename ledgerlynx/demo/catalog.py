@@ -1693,18 +1693,12 @@ def _stream(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def _changes(spark, d):
-    """Filled orders announce filings; each batch refreshes the companies named."""
-    filings = (
-        _stream(spark, d, "orders")
-        .where(c("o_orderstatus") == "F")
-        .select(
-            c("o_custkey").alias("cik"),
-            F.lit("10-K").alias("form"),
-            c("o_orderdate").cast("timestamp").alias("filed_ts"),
-        )
-    )
+    """Facts of the companies that filled orders stand for, streamed into a change log."""
+    filed = t.table(spark, d, "orders").where(c("o_orderstatus") == "F")
+    filed = filed.select(c("o_custkey").alias("cik")).distinct()
+    facts = t.facts_of(_stream(spark, d, "lineitem")).join(filed, "cik", "left_semi")
     changes, checkpoint = new_folder(spark, "changes"), new_folder(spark, "stream")
-    refresh.start_refresh(filings, lambda s: t.facts(s, d), changes, checkpoint).awaitTermination()
+    refresh.start_fact_refresh(facts, changes, checkpoint).awaitTermination()
     return spark.read.parquet(changes)
 
 
@@ -1716,7 +1710,7 @@ def _changes(spark, d):
     ),
 )
 def _(spark, d):
-    applied = refresh.newest_changes(_changes(spark, d))
+    applied = refresh.logged_snapshots(_changes(spark, d))
     return applied.select("cik", *schemas.SNAPSHOT_FIELDS, "going_concern")
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .. import schemas
 from ..functions import rnd
 from ..operators import facts as facts_ops
-from ..operators import prices, screens, stats
+from ..operators import enrich, prices, screens, stats
 from ..plans import screening
 from ..sources import landed
 from ..streaming import refresh
@@ -269,6 +269,7 @@ def _(spark, d):
     """Stream, upsert, and score again: companies that filed enter without revenue, too."""
     inputs = t.screen_inputs(spark, d)
     base = screening.base_financials(inputs.companies, inputs.facts)
-    current = refresh.current_companies(base, k._changes(spark, d), inputs.companies)
+    fresh = refresh.logged_snapshots(k._changes(spark, d))
+    current = enrich.upsert_snapshot(base, fresh, inputs.companies)
     report = screening.run_screen(inputs, t.AS_OF, current)[2]
     return report.select("cik", "ticker", "market_cap", "fraud_score", "risk")

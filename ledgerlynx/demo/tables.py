@@ -115,7 +115,11 @@ def _concept() -> Column:
 
 
 def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = table(spark, sf_dir, "lineitem")
+    return facts_of(table(spark, sf_dir, "lineitem"))
+
+
+def facts_of(lines: DataFrame) -> DataFrame:
+    """Line items, a table or a stream, as facts."""
     f = _filing_columns()
     concept = _concept()
     sign = F.when(c("l_tax") >= 0.07, -1.0).otherwise(1.0)

@@ -134,34 +134,31 @@ def going_concern_flags(facts: DataFrame) -> DataFrame:
     return facts.groupBy("cik").agg(F.coalesce(F.bool_or(hit), F.lit(False)).alias("going_concern"))
 
 
-def snapshot(facts: DataFrame) -> DataFrame:
-    """Wide current financials: one row per company with 18 fields and the flag.
+def latest_by_concept(facts: DataFrame) -> DataFrame:
+    """(cik, concept, val, end): the newest annual value of every concept the snapshot needs.
 
-    Step one reduces to one row per (cik, concept); step two is partitioned by
-    cik alone, at most one row per mapped concept, and needs no further shuffle.
+    One hash aggregate keyed by (cik, concept), over a table or over a stream of facts; text
+    blocks, and concepts without an annual value, keep a row with nulls.
     """
     concepts = sorted({*SNAPSHOT_CONCEPTS.values(), *SNAPSHOT_REVENUE, *GOING_CONCERN_CONCEPTS})
     wanted = F.when(F.col("concept") == "CommonStockSharesOutstanding", "shares").otherwise("USD")
     text_block = F.col("concept").isin(*GOING_CONCERN_CONCEPTS)
-    reduced = (
-        facts.where((F.col("namespace") == GAAP) & F.col("concept").isin(concepts))
-        .groupBy("cik", "concept")
-        .agg(
-            F.max_by(
-                F.col("val"),
-                F.when(
-                    (F.col("form") == "10-K") & (F.col("unit") == wanted) & ~text_block,
-                    date_rank_key("end", "pos", later_position_wins=True),
-                ),
-            ).alias("val"),
-        )
-        .repartition("cik")
+    counts = (F.col("form") == "10-K") & (F.col("unit") == wanted) & ~text_block
+    order = F.when(counts, date_rank_key("end", "pos", later_position_wins=True))
+    rows = facts.where((F.col("namespace") == GAAP) & F.col("concept").isin(concepts))
+    return rows.groupBy("cik", "concept").agg(
+        F.max_by("val", order).alias("val"), F.max(F.when(counts, F.col("end"))).alias("end")
     )
 
+
+def wide_snapshot(latest: DataFrame) -> DataFrame:
+    """One row per company from :func:`latest_by_concept`; partitioned by cik alone."""
+    text_block = F.col("concept").isin(*GOING_CONCERN_CONCEPTS)
+
     def pick(concept: str) -> Column:
         return F.max(F.when(F.col("concept") == concept, F.col("val")))
 
-    wide = reduced.groupBy("cik").agg(
+    wide = latest.groupBy("cik").agg(
         *[pick(c).alias(f) for f, c in SNAPSHOT_CONCEPTS.items()],
         *[pick(c).alias(f"_revenue_{i}") for i, c in enumerate(SNAPSHOT_REVENUE)],
         F.bool_or(text_block).alias("going_concern"),
@@ -171,6 +168,15 @@ def snapshot(facts: DataFrame) -> DataFrame:
     )
 
 
+def snapshot(facts: DataFrame) -> DataFrame:
+    """Wide current financials: one row per company with 18 fields and the flag.
+
+    Step one reduces to one row per (cik, concept); step two is partitioned by
+    cik alone, at most one row per mapped concept, and needs no further shuffle.
+    """
+    return wide_snapshot(latest_by_concept(facts).drop("end").repartition("cik"))
+
+
 def valid_snapshot(df: DataFrame, need_revenue: bool = True) -> DataFrame:
     """Keep companies with assets (and revenue); zero counts as missing."""
     keep = nz("total_assets").isNotNull()

@@ -1,10 +1,14 @@
 """Incremental refresh on Structured Streaming.
 
-New filings arrive as a stream.  Each micro-batch re-reads the facts of the
-companies that filed, and writes their snapshots to a change log partitioned
-by batch id; replaying a batch overwrites its own partition, so a restart after
-a lost executor or driver leaves the same state.  The current company table is
-merge-on-read: newest period end per company, upserted onto the base table.
+Facts arrive as a stream, and the newest value of every (company, concept) with its period
+end is the stream's keyed state: no batch reads facts again that an earlier one has seen,
+and a late filing about an older period changes no value.  Where only notices of filings
+arrive, each batch reads the facts of the companies that filed instead.
+
+Either way a batch writes what changed to a change log partitioned by batch id; replaying a
+batch overwrites its own partition, so a restart after a lost executor or driver leaves the
+same state.  The current company table is merge-on-read, or a versioned table to which each
+batch is applied.
 """
 
 from __future__ import annotations
@@ -69,6 +73,47 @@ def start_refresh(
     )
 
 
+def start_fact_refresh(
+    facts: DataFrame,
+    changes_path: str,
+    checkpoint: str,
+    apply: Callable[[DataFrame, int], None] | None = None,
+) -> StreamingQuery:
+    """Keep the newest value per (cik, concept) of a stream of facts; process all, then stop.
+
+    The state has one row per company and concept, however many facts arrive.  Every batch
+    logs the keys it met with their value after the batch: (cik, concept, val, end).
+    ``apply`` gets the same rows, and the batch id, after they are logged.
+    """
+
+    def write_batch(batch: DataFrame, batch_id: int) -> None:
+        path = f"{changes_path}/{BATCH}={batch_id}"
+        batch.write.mode("overwrite").parquet(path)
+        if apply is not None:
+            apply(batch.sparkSession.read.schema(batch.schema).parquet(path), batch_id)
+
+    return (
+        facts_ops.latest_by_concept(facts)
+        .writeStream.outputMode("update")
+        .foreachBatch(write_batch)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+
+
+def newest_facts(changes: DataFrame) -> DataFrame:
+    """(cik, concept, val, end) as the last batch that met a key left it."""
+    last = F.max_by(F.struct("val", "end"), BATCH).alias("last")
+    return changes.groupBy("cik", "concept").agg(last).select("cik", "concept", "last.val", "last.end")
+
+
+def logged_snapshots(changes: DataFrame) -> DataFrame:
+    """Valid snapshots of all companies in the log of :func:`start_fact_refresh`."""
+    wide = facts_ops.wide_snapshot(newest_facts(changes).drop("end").repartition("cik"))
+    return facts_ops.valid_snapshot(wide, need_revenue=False).select("cik", *FIELDS)
+
+
 def newest_changes(changes: DataFrame) -> DataFrame:
     """One change per company: newest period end, then the later batch.
 

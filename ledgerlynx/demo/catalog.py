@@ -1406,7 +1406,8 @@ def _(spark, d):
 
 # == model ====================================================================
 
-PREP = ["beneish_score", "altman_score", "operating_margin", "revenue_growth_yoy", "vol_prior_12m"]
+#: Flags are features, too, but are not winsorised.
+_FLAGS = {x for x in model.FEATURES if x.endswith("_flag") or x == "piotroski_weak"}
 
 
 def _clipped(x: str) -> str:
@@ -1422,16 +1423,16 @@ def _kept_null(x: str) -> str:
 @register(
     "train_prep",
     o.query(
-        f"""SELECT cik, CAST(fiscal_year AS BIGINT) AS fiscal_year, {", ".join(_kept_null(x) for x in
-           ["forward_return_12m", *PREP])} FROM pn WHERE forward_return_12m IS NOT NULL""",
+        f"""SELECT cik, CAST(fiscal_year AS BIGINT) AS fiscal_year, {", ".join(
+            x if x in _FLAGS else _kept_null(x) for x in ["forward_return_12m", *model.FEATURES]
+        )} FROM pn WHERE forward_return_12m IS NOT NULL""",
         "pn",
     ),
 )
 def _(spark, d):
     rows = model.prepare(panel(spark, d), "forward_return_12m")
-    return rows.select(
-        "cik", *counted("fiscal_year"), *[rnd(x, 5).alias(x) for x in ("forward_return_12m", *PREP)]
-    )
+    numbers = {x: rnd(c(x).cast("double"), 5).alias(x) for x in ("forward_return_12m", *model.FEATURES)}
+    return rows.select("cik", *counted("fiscal_year"), *[x if x in _FLAGS else n for x, n in numbers.items()])
 
 
 @register(
@@ -1473,10 +1474,10 @@ def _(spark, d):
     o.query(
         "SELECT CAST(test_year AS BIGINT) AS test_year, feature, median FROM ("
         + _union([
-            f"SELECT test_year, '{x}' AS feature, {o.rnd(f'quantile_cont({x}, 0.5)', 5)} AS median "
+            f"SELECT test_year, '{x}' AS feature, {o.rnd(f'quantile_cont(CAST({x} AS DOUBLE), 0.5)', 5)} AS median "
             f"FROM ({_SPLITS}) s JOIN pn ON pn.fiscal_year < s.test_year AND forward_return_12m IS NOT NULL "
-            "GROUP BY 1"
-            for x in PREP
+            f"GROUP BY 1 HAVING count({x}) > 0"
+            for x in model.FEATURES
         ])
         + ")",
         "pn",
@@ -1484,7 +1485,7 @@ def _(spark, d):
 )
 def _(spark, d):
     rows = panel(spark, d).where(c("forward_return_12m").isNotNull())
-    m = model.train_medians(rows, model.test_years(model.walk_forward_splits(rows)), PREP)
+    m = model.train_medians(rows, model.test_years(model.walk_forward_splits(rows)), model.FEATURES)
     return m.select(*counted("test_year"), "feature", rnd("median", 5).alias("median"))
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import dataclasses
+import datetime as dt
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,9 +11,12 @@ from pyspark.sql import functions as F
 from .. import schemas
 from ..functions import rnd
 from ..operators import facts as facts_ops
-from ..operators import enrich, prices, screens, stats
+from ..operators import enrich, prices, scoring, screens, stats
+from ..plans import panel as panel_plan
 from ..plans import screening
+from ..session import materialise, new_folder
 from ..sources import landed
+from ..sources.versions import KeyedTable
 from ..streaming import refresh
 from . import catalog as k
 from . import oracle as o
@@ -23,6 +27,11 @@ c = F.col
 
 def company_documents(spark: SparkSession, d: str) -> DataFrame:
     """(cik, doc): one facts document per company with all its facts, as filed."""
+    return documents_of(t.all_facts(spark, d))
+
+
+def documents_of(facts: DataFrame) -> DataFrame:
+    """(cik, doc) of a long fact table."""
     entry = F.to_json(
         F.struct(
             "form", "fy", "fp", c("end").cast("string").alias("end"),
@@ -37,7 +46,7 @@ def company_documents(spark: SparkSession, d: str) -> DataFrame:
 
     listed = F.sort_array(F.collect_list(F.struct("pos", entry.alias("e"))))
     texts = F.array_join(F.transform(listed, lambda x: x["e"]), ",")
-    units = t.all_facts(spark, d).groupBy("cik", "namespace", "concept", "unit").agg(
+    units = facts.groupBy("cik", "namespace", "concept", "unit").agg(
         F.concat(F.lit("["), texts, F.lit("]")).alias("entries")
     )
     concepts = units.groupBy("cik", "namespace", "concept").agg(
@@ -99,11 +108,8 @@ def _directory(spark: SparkSession, d: str) -> DataFrame:
     "AND p.s_suppkey < s.s_suppkey AND p.s_suppkey % 10 <> 3)",
 )
 def _(spark, d):
-    docs = _directory(spark, d)
-    rows = landed.explode_directory(docs.orderBy("s_suppkey"))
-    # Pages follow one another: a page's number comes before the place in it.
-    page = F.regexp_extract("ticker", r"(\d+)", 1).cast("long")
-    first = landed.first_listings(rows.withColumn("pos", page * 2 + c("pos")))
+    rows = landed.explode_directory(_directory(spark, d), page="s_suppkey")
+    first = landed.first_listings(rows)
     return first.select("cik", "name", "ticker")
 
 
@@ -112,6 +118,147 @@ def _(spark, d):
     return landed.unreadable(_directory(spark, d), schemas.DIRECTORY_DOCUMENT).select("s_suppkey")
 
 
+@k.register(
+    "facts_rejects",
+    "SELECT l_suppkey AS cik, count(*) AS documents FROM lineitem WHERE l_suppkey % 10 = 3 GROUP BY 1",
+)
+def _(spark, d):
+    """Facts documents that cannot be read, for the error list of a fetch."""
+    broken = c("cik") % 10 == 3
+    cut = F.expr("substring(doc, 1, length(doc) - 9)")
+    docs = t.facts_documents(spark, d).withColumn("doc", F.when(broken, cut).otherwise(c("doc")))
+    rejects = landed.unreadable(docs, schemas.FACTS_DOCUMENT)
+    return rejects.groupBy("cik").agg(F.count(F.lit(1)).alias("documents"))
+
+
+@k.register("json_table", o.query("SELECT * FROM co", "co"))
+def _(spark, d):
+    """Files that each hold one JSON array of companies, read as a table."""
+    path = new_folder(spark, "company-arrays")
+    group = F.floor(c("cik") / 100)  # at most 100 companies an array
+    row = F.struct("cik", "name", "ticker", "exchange", "market_cap")
+    arrays = t.companies(spark, d).groupBy(group).agg(F.to_json(F.collect_list(row)).alias("value"))
+    arrays.select("value").write.option("maxRecordsPerFile", 1).text(path)
+    schema = "cik bigint, name string, ticker string, exchange string, market_cap double"
+    return landed.read_json_table(spark, path, schema)
+
+
+@k.register(
+    "panel_from_documents",
+    o.query(
+        f"""SELECT {k.names(*[x for x in panel_plan.PANEL_COLUMNS if x not in ('fiscal_year', 'piotroski_score')])},
+  {k.big('fiscal_year', 'piotroski_score')} FROM pn""",
+        "pn",
+    ),
+)
+def _(spark, d):
+    """The panel from documents where the unit decides: other units carry wrong values."""
+    facts = t.all_facts(spark, d)
+    decoy = facts.where((c("unit") == "USD") & (c("cik") % 3 == 0)).withColumns(
+        {"unit": F.lit("shares"), "val": c("val") * 7}
+    )
+    late = facts.where(c("unit").isin("USD", "shares") & (c("cik") % 3 == 1)).withColumns(
+        {"unit": F.lit("USD/shares"), "val": c("val") * 5}
+    )
+    docs = documents_of(facts.unionByName(decoy).unionByName(late))
+    panel = panel_plan.build_panel(
+        t.companies(spark, d), landed.explode_facts(docs), t.bars(spark, d), t.benchmark(spark, d),
+        t.AS_OF, t.YEARS, t.FLOOR,
+    )
+    ints = ("fiscal_year", "piotroski_score")
+    rest = [x for x in panel_plan.PANEL_COLUMNS if x not in ints]
+    return panel.select(*rest, *k.counted(*ints))
+
+
+def _numbers(columns: list[str]) -> str:
+    """SQL list of the columns that hold numbers, told by name."""
+    other = {
+        "ticker", "name", "exchange", "risk", "altman_zone", "auditor_name", "market_cap_segment",
+        "filed_date", "piotroski_weak", "big4_auditor", "beat_sp500", "beat_sp500_24m",
+    }
+    return ", ".join(f"'{x}'" for x in columns if x not in other and not x.endswith("_flag"))
+
+
+@k.register(
+    "coverage_by_type",
+    " UNION ALL ".join(
+        "SELECT * FROM ("
+        + o.query(
+            f"SELECT '{label}' AS of_table, name AS metric, n AS count, "
+            + o.rnd("n * 1e2 / (SELECT count(*) FROM " + view + ")", 1)
+            + f" AS coverage_pct FROM (UNPIVOT (SELECT count(COLUMNS(lambda x: x IN ({columns}))) FROM {view}) "
+            "ON COLUMNS(*) INTO NAME name VALUE n)",
+            view,
+        )
+        + ")"
+        for label, view, columns in (
+            ("report", "rp", _numbers(["cik", *scoring.REPORT_COLUMNS])),
+            ("panel", "pn", _numbers(panel_plan.PANEL_COLUMNS)),
+        )
+    ),
+)
+def _(spark, d):
+    """Coverage of every column that holds numbers, of the report and of the panel."""
+    parts = [
+        stats.coverage(df).select(F.lit(label).alias("of_table"), "metric", "count", "coverage_pct")
+        for label, df in (("report", k.report(spark, d)), ("panel", k.panel(spark, d)))
+    ]
+    return parts[0].unionByName(parts[1])
+
+
+@k.register(
+    "versioned_upsert",
+    o.query(
+        f"""SELECT coalesce(a.cik, b.cik, e.cik) AS cik,
+  {", ".join(f"CASE WHEN e.cik IS NOT NULL THEN e.{f} WHEN b.cik IS NOT NULL THEN b.{f} ELSE a.{f} END AS {f}"
+             for f in [*schemas.SNAPSHOT_FIELDS, "going_concern"])}
+FROM (SELECT s.* FROM ({k._snap_sql("filed < DATE '1999-06-01'")}) s JOIN co ON s.cik = co.cik
+      WHERE nullif(total_assets, 0) IS NOT NULL AND nullif(revenue, 0) IS NOT NULL) a
+FULL JOIN (SELECT * FROM ({k._snap_sql("filed >= DATE '1999-06-01' AND filed < DATE '2001-01-01' AND cik % 3 = 0")})
+      WHERE nullif(total_assets, 0) IS NOT NULL) b ON a.cik = b.cik
+FULL JOIN (SELECT * FROM ({k._snap_sql("filed >= DATE '2001-01-01' AND cik % 5 < 2")})
+      WHERE nullif(total_assets, 0) IS NOT NULL) e ON coalesce(a.cik, b.cik) = e.cik""",
+        "fa", "co",
+    ),
+)
+def _(spark, d):
+    """Two rounds of fresh snapshots applied to a versioned company table."""
+    facts, companies = t.facts(spark, d), t.companies(spark, d)
+    filed = c("filed")
+    first, second = F.lit(dt.date(1999, 6, 1)), F.lit(dt.date(2001, 1, 1))
+    ddl = ", ".join(f"`{name}` {kind}" for name, kind in schemas.FINANCIALS.items())
+    table = KeyedTable(spark, new_folder(spark, "company-versions"), "cik", ddl)
+    table.create(screening.base_financials(companies, facts.where(filed < first)))
+    for rows in (
+        facts.where((filed >= first) & (filed < second) & (c("cik") % 3 == 0)),
+        facts.where((filed >= second) & (c("cik") % 5 < 2)),
+    ):
+        snap = facts_ops.valid_snapshot(facts_ops.snapshot(rows), need_revenue=False)
+        fresh = materialise(snap, "fresh-snapshots")
+        table.upsert(fresh, lambda old, new: enrich.upsert_snapshot(old, new, companies))
+    return table.read().select("cik", *schemas.SNAPSHOT_FIELDS, "going_concern")
+
+
+@k.register(
+    "stream_notices",
+    o.query(
+        f"SELECT {k._SNAP} FROM sn WHERE nullif(total_assets, 0) IS NOT NULL "
+        "AND cik IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')", "sn",
+    ),
+)
+def _(spark, d):
+    """Filled orders announce filings; each batch reads the facts of the companies named."""
+    filings = k._stream(spark, d, "orders").where(c("o_orderstatus") == "F").select(
+        c("o_custkey").alias("cik"),
+        F.lit("10-K").alias("form"),
+        c("o_orderdate").cast("timestamp").alias("filed_ts"),
+    )
+    changes, checkpoint = new_folder(spark, "changes"), new_folder(spark, "stream")
+    refresh.start_refresh(filings, lambda s: t.facts(s, d), changes, checkpoint).awaitTermination()
+    applied = refresh.newest_changes(spark.read.parquet(changes))
+    return applied.select("cik", *schemas.SNAPSHOT_FIELDS, "going_concern")
+
+
 @k.register(
     "late_dates",
     o.query(
@@ -238,6 +385,27 @@ def _(spark, d):
     return r.select("feature", rnd("correlation", 6).alias("correlation"))
 
 
+@k.register(
+    "report_corr_matrix",
+    o.query(
+        "SELECT feature_a, feature_b, "
+        + o.rnd("r", 3)
+        + " AS correlation FROM ("
+        + k._union([
+            f"SELECT '{a}' AS feature_a, '{b}' AS feature_b, corr({a}, {b}) AS r FROM rp"
+            for i, a in enumerate(REPORT_FEATURES) for b in REPORT_FEATURES[i + 1:]
+        ])
+        + ") WHERE NOT isnan(r) AND r IS NOT NULL",
+        "rp",
+    ),
+)
+def _(spark, d):
+    """The upper triangle of the correlation matrix of all 28 report columns."""
+    m = stats.correlation_matrix(k.report(spark, d), REPORT_FEATURES, min_values=1)
+    known = m.where(c("correlation").isNotNull())
+    return known.select("feature_a", "feature_b", rnd("correlation", 3).alias("correlation"))
+
+
 @k.register(
     "repeated_bars",
     o.query(

@@ -10,6 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from ..functions import flag, nz, rnd, sd
 from .ordered import exact_quantiles, quantile_columns
@@ -27,8 +28,17 @@ def long_form(df: DataFrame, columns: Sequence[str], keep: Sequence[str] = ()) -
 # -- coverage and counts ------------------------------------------------------
 
 
-def coverage(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Non-null count, share and band per column; one pass, one row, then unpivot."""
+def measured_columns(df: DataFrame) -> list[str]:
+    """Columns that hold numbers, by type."""
+    return [f.name for f in df.schema.fields if isinstance(f.dataType, NumericType)]
+
+
+def coverage(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """Non-null count, share and band per column; one pass, one row, then unpivot.
+
+    Without a list, every column that holds numbers counts.
+    """
+    columns = measured_columns(df) if columns is None else columns
     one = df.agg(F.count(F.lit(1)).alias("_rows"), *[F.count(x).alias(x) for x in columns])
     long = one.unpivot(["_rows"], list(columns), "metric", "count")
     pct = rnd(sd(c("count") * 100.0, "_rows"), 1)

@@ -17,7 +17,7 @@ c = F.col
 
 
 def read_json_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """JSON array files (or one object per line) under an explicit schema."""
+    """JSON files that hold an array of objects, or one object, under an explicit schema."""
     return spark.read.schema(schema).option("multiLine", True).json(path)
 
 
@@ -45,12 +45,17 @@ def first_rows(df: DataFrame, n: int | None, *keys: str) -> DataFrame:
 # -- documents to rows --------------------------------------------------------
 
 
-def explode_directory(docs: DataFrame, doc: str = "doc") -> DataFrame:
-    """Company directory: positional arrays to (pos, cik, name, ticker, exchange)."""
+def explode_directory(docs: DataFrame, doc: str = "doc", page: str | None = None) -> DataFrame:
+    """Company directory: positional arrays to (pos, cik, name, ticker, exchange).
+
+    ``page`` names the number of a page (0 up to 2^31) where a directory has several; positions
+    then go on from page to page.
+    """
     data = F.from_json(doc, schemas.DIRECTORY_DOCUMENT)["data"]
-    rows = docs.select(F.posexplode(data).alias("pos", "r"))
+    before = F.lit(0) if page is None else c(page)
+    rows = docs.select(before.cast("bigint").alias("page"), F.posexplode(data).alias("pos", "r"))
     return rows.select(
-        "pos",
+        (F.shiftleft("page", 32) + c("pos") if page else c("pos")).alias("pos"),
         F.get("r", 0).try_cast("bigint").alias("cik"),
         F.get("r", 1).alias("name"),
         F.get("r", 2).alias("ticker"),

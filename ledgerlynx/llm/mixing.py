@@ -32,7 +32,8 @@ from .common import WORD, one_of_each, share_of
 class MixParams:
     """``max_sources`` bounds the table of sources, which the driver holds.
 
-    More sources raise an error: weights are a configuration, not data.
+    More sources raise an error: weights are a configuration, not data.  There are at least
+    ``shards`` shards, and more where one would get over ``shard_words`` words.
     """
 
     weights: Sequence[float] = (5.0, 2.0, 1.0)
@@ -41,6 +42,7 @@ class MixParams:
     block_rows: int = 256
     max_blocks: int = 16_384
     shards: int = 16
+    shard_words: int = 20_000_000
     seed: int = 17
     max_sources: int = 100_000
 
@@ -84,25 +86,34 @@ def split_quotas(quotas: np.ndarray, shards: int, seed: int) -> np.ndarray:
     return out
 
 
-def row_hash(params: MixParams) -> Column:
-    """Seeded hash of a document by which it is dealt, drawn and shuffled."""
-    return F.xxhash64(F.lit(params.seed), "doc_id", "text", "source")
+def row_hash(docs: DataFrame, params: MixParams) -> Column:
+    """Seeded hash of all columns of a row, by which it is dealt, drawn and shuffled."""
+    return F.xxhash64(F.lit(params.seed), *[F.col(f"`{c}`") for c in docs.columns])
 
 
 @dataclass(frozen=True)
 class Mix:
-    """``documents``: one row per document; ``draws``: one row per drawn document and pass."""
+    """``rows``: one row per document; ``draws``: one row per drawn document and pass."""
 
-    documents: DataFrame
+    rows: DataFrame
     draws: DataFrame
+    shards: int
+
+    def documents(self) -> DataFrame:
+        """``rows`` with ``taken``, the words that the draws of a document sum to."""
+        taken = self.draws.groupBy("row").agg(F.sum("words").alias("taken"))
+        return self.rows.join(taken, "row", "left").withColumn(
+            "taken", F.coalesce("taken", F.lit(0).cast("long"))
+        )
 
 
 def mix_sources(docs: DataFrame, params: MixParams = MixParams()) -> Mix:
     """Draw documents so that each source's words meet its target.
 
-    Reads ``doc_id``, ``text`` and ``source``; other columns play no part.
-    ``documents``: doc_id, source, row_hash, size, source_size, target, taken.
-    ``draws``: doc_id, source, row_hash, pass, words, shard, position (order within its shard).
+    Reads ``doc_id``, ``text`` and ``source``; other columns only tell rows apart.
+    ``rows``: row, doc_id, source, row_hash, size, source_size, target.
+    ``draws``: row, doc_id, source, row_hash, pass, words, shard, position (order within its
+    shard).
     """
     spark = docs.sparkSession
     size = F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)).cast("long"), F.lit(0).cast("long"))
@@ -110,8 +121,9 @@ def mix_sources(docs: DataFrame, params: MixParams = MixParams()) -> Mix:
         docs.select(
             F.col("doc_id"),
             F.col("source"),
-            row_hash(params).alias("row_hash"),
+            row_hash(docs, params).alias("row_hash"),
             size.alias("size"),
+            F.monotonically_increasing_id().alias("row"),
         ),
         "mix-rows",
     )
@@ -144,6 +156,7 @@ def mix_sources(docs: DataFrame, params: MixParams = MixParams()) -> Mix:
         rows.alias("r")
         .join(F.broadcast(sources).alias("s"), F.col("r.source").eqNullSafe(F.col("s.source")))
         .select(
+            "row",
             "doc_id",
             "r.source",
             "row_hash",
@@ -174,7 +187,7 @@ def mix_sources(docs: DataFrame, params: MixParams = MixParams()) -> Mix:
     edge = blocks.where((F.col("room") > 0) & (F.col("room") < F.col("block_size")))
     in_block = (
         Window.partitionBy("source_no", "block")
-        .orderBy("row_hash", "doc_id", "size")
+        .orderBy("row_hash", "doc_id", "row")
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     all_blocks = placed.join(blocks, ["source_no", "block"])
@@ -192,19 +205,16 @@ def mix_sources(docs: DataFrame, params: MixParams = MixParams()) -> Mix:
         .drop("_before")
     )
     taken = inside.unionByName(cut)
-    documents = taken.select(
-        "doc_id",
-        "source",
-        "row_hash",
-        "size",
-        "source_size",
-        "target",
-        (F.col("whole") * F.col("size") + F.col("part_words")).alias("taken"),
-    )
-    return Mix(documents, _draws(spark, taken, blocks, source_rows, params))
+    words = int(sum(targets))
+    shards = max(params.shards, -(-words // params.shard_words))
+    draws = _draws(spark, taken, blocks, source_rows, params, shards)
+    rows = placed.select("row", "doc_id", "source", "row_hash", "size", "source_size", "target")
+    return Mix(rows, draws, shards)
 
 
-def _draws(spark, taken: DataFrame, blocks: DataFrame, source_rows, params: MixParams) -> DataFrame:
+def _draws(
+    spark, taken: DataFrame, blocks: DataFrame, source_rows, params: MixParams, n_shards: int
+) -> DataFrame:
     """Send every drawn block to a shard by the tree, and shuffle each shard locally."""
     counted = {
         r["source_no"]: (r["n"], r["used"])
@@ -219,7 +229,7 @@ def _draws(spark, taken: DataFrame, blocks: DataFrame, source_rows, params: MixP
         ],
         dtype=np.int64,
     )
-    shares = split_quotas(quotas, params.shards, params.seed) if len(quotas) else np.zeros((0, 0))
+    shares = split_quotas(quotas, n_shards, params.seed) if len(quotas) else np.zeros((0, 0))
     ends = np.cumsum(shares, axis=0)
     bounds = [
         (i, [int(x) for x in ends[:, i]], counted.get(i, (0, 0))[0]) for i in range(len(quotas))
@@ -236,6 +246,7 @@ def _draws(spark, taken: DataFrame, blocks: DataFrame, source_rows, params: MixP
         "shard", F.size(F.filter("ends", lambda e: e <= F.col("_spot"))).cast("int")
     )
     return draw.select(
+        "row",
         "doc_id",
         "source",
         "row_hash",
@@ -253,14 +264,17 @@ def mixed_documents(docs: DataFrame, params: MixParams = MixParams()) -> DataFra
     target has its first words only, joined by blanks.
     """
     names = ("row_hash", "words", "shard", "position")
-    draws = mix_sources(docs, params).draws.select(*[F.col(n).alias(f"_mix_{n}") for n in names])
-    keyed = one_of_each(docs.withColumn("_mix_row_hash", row_hash(params)), "_mix_row_hash")
+    mix = mix_sources(docs, params)
+    draws = mix.draws.select(*[F.col(n).alias(f"_mix_{n}") for n in names])
+    # Rows of one hash are equal in every column: one stands for all, their draws stay apart.
+    keyed = one_of_each(docs.withColumn("_mix_row_hash", row_hash(docs, params)), "_mix_row_hash")
     drawn = keyed.join(share_of(draws, "draws"), "_mix_row_hash")
     found = F.regexp_extract_all("text", F.lit(f"({WORD})"), F.lit(1))
     cut = F.array_join(F.slice(found, F.lit(1), F.col("_mix_words").cast("int")), " ")
     whole = F.regexp_count("text", F.lit(WORD)) == F.col("_mix_words")
     drawn = drawn.withColumn("text", F.when(whole, F.col("text")).otherwise(cut))
-    ordered = drawn.repartition(params.shards, "_mix_shard").sortWithinPartitions(
+    # One task per shard, whatever their numbers hash to.
+    ordered = drawn.repartitionById(mix.shards, F.col("_mix_shard")).sortWithinPartitions(
         "_mix_shard", "_mix_position"
     )
     return ordered.select(*docs.columns)

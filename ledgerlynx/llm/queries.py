@@ -69,7 +69,7 @@ def op6_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mix = mixing.mix_sources(table(spark, sf_dir, "documents"))
-    return mix.documents.select("doc_id", "size", "source_size", "target", "taken")
+    return mix.documents().select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -353,7 +353,7 @@ def test_split_quotas_keep_every_block():
 def test_mix_meets_its_targets(spark):
     docs = table(spark, SF, "documents")
     mix = mixing.mix_sources(docs)
-    rows = mix.documents.collect()
+    rows = mix.documents().collect()
     by_source = {}
     for r in rows:
         assert 0 <= r["taken"] <= 2 * r["size"]
@@ -362,7 +362,7 @@ def test_mix_meets_its_targets(spark):
         s[3] += r["size"]
     for taken, target, size, seen in by_source.values():
         assert abs(taken - target) <= 1 and size == seen and target <= 2 * size + 1e-9
-    again = {(r["doc_id"], r["taken"]) for r in mixing.mix_sources(docs).documents.collect()}
+    again = {(r["doc_id"], r["taken"]) for r in mixing.mix_sources(docs).documents().collect()}
     assert again == {(r["doc_id"], r["taken"]) for r in rows}
     draws = mix.draws.collect()
     assert sum(r["words"] for r in draws) == sum(r["taken"] for r in rows)
@@ -373,14 +373,34 @@ def test_mix_meets_its_targets(spark):
 
 
 def test_mix_odd_rows(odd, none):
-    rows = mixing.mix_sources(odd).documents.collect()
+    rows = mixing.mix_sources(odd).documents().collect()
     assert len(rows) == len(ODD)
     assert all(r["taken"] == 0 for r in rows if r["size"] == 0)
-    assert mixing.mix_sources(none).documents.count() == 0
+    assert mixing.mix_sources(none).documents().count() == 0
     assert mixing.mixed_documents(none).count() == 0
     assert mixing.mixed_documents(odd).columns == odd.columns
 
 
+def test_rows_equal_but_for_another_column_all_stay(spark):
+    rows = [(k // 3, f"text number {k // 3}", "en" if k % 3 else "de", "s", k % 2) for k in range(60)]
+    docs = spark.createDataFrame(rows, DOCS)
+    params = mixing.MixParams(total=1.0, passes=1.0)
+    mixed = mixing.mixed_documents(docs, params)
+    assert sorted(map(tuple, mixed.collect())) == sorted(rows)
+    taken = mixing.mix_sources(docs, params).documents().collect()
+    assert all(r["taken"] == r["size"] == 3 for r in taken)
+
+
+def test_large_mixes_get_more_shards(spark):
+    docs = table(spark, SF, "documents")
+    params = mixing.MixParams(shard_words=20_000)
+    mix = mixing.mix_sources(docs, params)
+    assert mix.shards > 16
+    by_shard = mix.draws.groupBy("shard").agg(F.sum("words").alias("words")).collect()
+    assert len(by_shard) == mix.shards
+    assert mixing.mixed_documents(docs, params).rdd.getNumPartitions() == mix.shards
+
+
 # -- near copies --------------------------------------------------------------
 
 

@@ -185,9 +185,10 @@ def _numbers(columns: list[str]) -> str:
         "SELECT * FROM ("
         + o.query(
             f"SELECT '{label}' AS of_table, name AS metric, n AS count, "
-            + o.rnd("n * 1e2 / (SELECT count(*) FROM " + view + ")", 1)
-            + f" AS coverage_pct FROM (UNPIVOT (SELECT count(COLUMNS(lambda x: x IN ({columns}))) FROM {view}) "
-            "ON COLUMNS(*) INTO NAME name VALUE n)",
+            + o.rnd("n * 1e2 / total", 1)
+            + " AS coverage_pct FROM (UNPIVOT (SELECT count(*) AS total, "
+            f"count(COLUMNS(lambda x: x IN ({columns}))) FROM {view}) "
+            "ON COLUMNS(* EXCLUDE (total)) INTO NAME name VALUE n)",
             view,
         )
         + ")"

@@ -22,7 +22,8 @@ from pyspark.sql import functions as F
 
 from .common import share_of
 
-# A small table of labelled hosts; each is tried with every path below.
+# A small table of labelled urls, spelled as hosts and paths.  A url is blocked
+# if its host or its path is; the neutral hosts carry paths of both kinds.
 BLOCKED_HOSTS = (
     "casino-online.com casinoroyal.net vegas-casino.org mega-casino.net casino-slots.com "
     "bets-today.com sportsbets.net freebets-club.com best-bets.org poker-win.net win-jackpot.com "
@@ -40,12 +41,25 @@ ALLOWED_HOSTS = (
     "archive.org encyclopedia.net dictionary.com journal.org newspaper.com radio.net television.com "
     "engineering.org software.net hardware.com mathematics.org physics.net chemistry.com biology.org "
     "architecture.net painting.com photography.org literature.net poetry.com translation.org "
-    "mountains.net rivers.com oceans.org forests.net islands.com villages.org harbours.net "
-    "the-herald.com north-station.org inn-thornton.net heather-estate.com then-and-there.org "
-    "thatched-roof.net ringing-bells.com other-nations.org"
+    "mountains.net rivers.com oceans.org forests.net islands.com villages.org harbours.net"
+).split()
+NEUTRAL_HOSTS = (
+    "mysite.com homepage.net webspace.org myhome.net userpages.com hosting.org bloghost.net "
+    "freeweb.com webhome.org sitebuilder.net"
+).split()
+BLOCKED_PATHS = (
+    "/casino/bonus /online-casino.html /adult/videos /adult/pills /xxx/gallery.html /xxx-pics/12 "
+    "/viagra-cheap.html /cheap-viagra /pills/order /diet-pills.html /poker/win /poker-room.html "
+    "/slots/free-spins /free-slots /betting/odds /sports-bets.html /payday-loans /loans/quick "
+    "/replica-watches /warez/crack.zip /cracked-keys.html /phish/login /lottery/jackpot /porn/123"
+).split()
+ALLOWED_PATHS = (
+    "/ /en/1024 /de/733/ /fr/58.html /es/4106 /2024/05/article.html /index.html /about /contact.html "
+    "/library/books /science/physics.html /recipes/soup /history/maps /news/2023/11/ /blog/post-17 "
+    "/docs/manual.pdf /images/garden.jpg /wiki/Chess /weather/today /music/concert.html "
+    "/school/timetable /travel/rail-map /museum/opening-hours /poems/12"
 ).split()
 SEED_PREFIXES = ("", "www.", "blog.", "m.")
-SEED_PATHS = ("/", "/en/1024", "/de/733/", "/fr/58.html", "/es/4106", "/2024/05/article.html")
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -93,9 +107,8 @@ def longest_rule(rules: Sequence[Rule], host: Column, path: Column) -> tuple[Col
     return text, verdict
 
 
-def _grams(part: Column, tag: str, sizes: Sequence[int]) -> Column:
-    """Tagged n-grams of a string, with ends marked; linear in its length."""
-    chars = F.split(F.concat(F.lit("^"), part, F.lit("$")), "")
+def _grams(chars: Column, tag: str, sizes: Sequence[int]) -> Column:
+    """Tagged n-grams of a column of characters; linear in their number."""
 
     def of(n: int) -> Column:
         starts = F.sequence(F.lit(1), F.size(chars) - n + 1)
@@ -109,19 +122,30 @@ def _grams(part: Column, tag: str, sizes: Sequence[int]) -> Column:
 
 
 def _features(df: DataFrame, params: UrlModelParams) -> DataFrame:
-    grams = F.concat(_grams(F.col("host"), "h", params.grams), _grams(F.col("path"), "p", params.grams))
+    def marked(part: str) -> Column:
+        return F.split(F.concat(F.lit("^"), part, F.lit("$")), "")
+
+    # Columns of their own: inside a lambda, the split would run again for every gram.
+    split = df.withColumns({"_host_chars": marked("host"), "_path_chars": marked("path")})
+    grams = F.concat(*[_grams(F.col(f"_{p}_chars"), p[0], params.grams) for p in ("host", "path")])
     tf = HashingTF(inputCol="_grams", outputCol="_features", numFeatures=params.buckets, binary=True)
-    return tf.transform(df.withColumn("_grams", grams))
+    return tf.transform(split.withColumn("_grams", grams).drop("_host_chars", "_path_chars"))
 
 
 def seed_urls(spark: SparkSession) -> DataFrame:
     """The small labelled table the model learns from by default: host, path, verdict."""
-    hosts = [(h, v) for hs, v in ((BLOCKED_HOSTS, "block"), (ALLOWED_HOSTS, "allow")) for h in hs]
-    base = spark.createDataFrame(hosts, "_host string, verdict string")
+    groups = (
+        (BLOCKED_HOSTS, ALLOWED_PATHS, "block"),
+        (ALLOWED_HOSTS, ALLOWED_PATHS, "allow"),
+        (NEUTRAL_HOSTS, ALLOWED_PATHS, "allow"),
+        ([*NEUTRAL_HOSTS, *ALLOWED_HOSTS], BLOCKED_PATHS, "block"),
+    )
+    rows = [(h, list(paths), v) for hosts, paths, v in groups for h in hosts]
+    base = spark.createDataFrame(rows, "_host string, _paths array<string>, verdict string")
     prefix = F.explode(F.array(*[F.lit(p) for p in SEED_PREFIXES]))
-    path = F.explode(F.array(*[F.lit(p) for p in SEED_PATHS]))
-    named = base.select("verdict", "_host", prefix.alias("_prefix"))
-    return named.select(F.concat("_prefix", "_host").alias("host"), path.alias("path"), "verdict")
+    named = base.select("verdict", "_host", "_paths", prefix.alias("_prefix"))
+    path = F.explode("_paths").alias("path")
+    return named.select(F.concat("_prefix", "_host").alias("host"), path, "verdict")
 
 
 def fit_urls(labelled: DataFrame, params: UrlModelParams = UrlModelParams()):

@@ -145,6 +145,30 @@ def test_url_model_learns_from_labels(spark):
     assert {r["verdict"] for r in urls.judge_urls(pages, (), one.limit(0)).collect()} == {"allow"}
 
 
+def test_paths_of_a_neutral_host_decide(spark):
+    paths = {
+        "/xxx/adult/pills": "block",
+        "/viagra-online.html": "block",
+        "/casino": "block",
+        "/free-poker/win": "block",
+        "/": "allow",
+        "/en/77": "allow",
+        "/science/library.html": "allow",
+        "/poems/soup": "allow",
+    }
+    hosts = ("smith-family.org", "pages.port.net")
+    urls_of = [(i, f"https://{h}{p}?q=1") for h in hosts for i, p in enumerate(paths)]
+    pages = spark.createDataFrame(urls_of, "page_id int, url string")
+    got = {(r["host"], r["path"]): r["verdict"] for r in urls.judge_urls(pages, ()).collect()}
+    assert got == {(h, p): v for h in hosts for p, v in paths.items()}
+
+
+def test_a_very_long_url_is_judged(spark):
+    url = "http://" + "a" * 70_000 + ".com/" + "b" * 70_000
+    row = urls.judge_urls(spark.createDataFrame([(1, url)], "page_id int, url string"), ()).first()
+    assert (len(row["host"]), len(row["path"])) == (70_004, 70_001) and row["verdict"] in ("allow", "block")
+
+
 def test_url_plan_has_no_python(spark):
     pages = table(spark, SF, "pages")
     plan = urls.judge_urls(pages, queries.URL_RULES)._jdf.queryExecution().toString()

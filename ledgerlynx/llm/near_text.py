@@ -11,8 +11,8 @@ class is what links connect.
 Equal texts are collapsed first: a node is a text, whatever rows and ids carry it.  In a
 bucket, the member that shares most buckets is compared with all others, which settles a
 group of copies of one text.  Where members of several classes are left, all those outside
-the largest class are compared with the whole bucket, block by block: common words are
-counted exactly, and what they allow is aligned.  So every pair of a bucket is compared or
+the largest class are compared with the whole bucket, block by block: what their word counts
+allow is aligned.  So every pair of a bucket is compared or
 already in one class, and none is lost to a cap.
 
 Defined cases: words are runs without ASCII white space, lower-cased; a text of one to four
@@ -42,6 +42,7 @@ _STEP = np.uint64(0x9E3779B97F4A7C15)
 _MASK = (1 << 64) - 1
 _KNOWN = 500_000
 _CELLS = 1 << 20
+_BINS = 128
 
 
 @dataclass(frozen=True)
@@ -132,6 +133,11 @@ def order_sketch(x: np.ndarray, params: NearParams) -> np.ndarray:
     return out
 
 
+def _counts(codes: np.ndarray) -> np.ndarray:
+    """Words by hashed bins."""
+    return np.bincount((codes % np.uint64(_BINS)).astype(np.int64), minlength=_BINS)
+
+
 def edits_within(a: np.ndarray, b: np.ndarray, limit: int) -> bool:
     """Whether at most ``limit`` word insertions, deletions and changes turn ``a`` into ``b``.
 
@@ -373,10 +379,7 @@ def _compare_rest(rest: DataFrame, texts: DataFrame, params: NearParams) -> Data
             left = [words(t) for t in a["text"]]
             right = [words(t) for t in b["mate_text"]]
             size = np.array([len(x.codes) for x in right])
-            values = np.concatenate([x.bag for x in right])
-            owner = np.repeat(np.arange(len(right)), size)
-            order = np.argsort(values)
-            values, owner = values[order], owner[order]
+            counts = np.stack([_counts(x.codes) for x in right])
             class_b, node_b = b["class_b"].to_numpy(), b["mate"].to_numpy()
             joined: dict = {}
 
@@ -386,13 +389,11 @@ def _compare_rest(rest: DataFrame, texts: DataFrame, params: NearParams) -> Data
                 return c
 
             for x, own, node in zip(left, a["class"], a["node"], strict=True):
-                low = np.searchsorted(values, x.bag)
-                high = np.searchsorted(values, x.bag, side="right")
-                n = high - low
-                at = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
-                common = np.bincount(owner[at], minlength=len(right))
+                # Each edit takes away and adds at most one word, so at most one of a bin.
+                more = np.maximum(counts - _counts(x.codes), 0).sum(axis=1)
+                apart = np.maximum(more, more + len(x.codes) - size)
                 longer = np.maximum(size, len(x.codes))
-                good = (longer - common <= longer * (1 - params.similarity) + 1e-9) & (class_b != own)
+                good = (apart <= longer * (1 - params.similarity) + 1e-9) & (class_b != own)
                 for j in np.flatnonzero(good):
                     if root(own) != root(class_b[j]) and compare(x, right[j], params.similarity):
                         joined[root(own)] = root(class_b[j])

@@ -416,19 +416,24 @@ def _edits(a, b):
 
 
 def _plain_classes(rows, params):
-    """Least id of every class, by plain edit distance of all pairs of texts."""
-    texts = [(i, t.lower().split()) for i, t in rows if i is not None and t and t.split()]
-    root = {i: i for i, _ in texts}
+    """Least id of every class, by plain edit distance of all pairs that agree in a band."""
+    coder = near_text.WordCoder()
+
+    def sketch(text):
+        return near_text.order_sketch(near_text.labelled(coder.codes(text), params.words), params)
+
+    texts = [(i, t.lower().split(), sketch(t)) for i, t in rows if i is not None and t and t.split()]
+    root = {i: i for i, _, _ in texts}
 
     def find(i):
         while root[i] != i:
             i = root[i]
         return i
 
-    for n, (i, x) in enumerate(texts):
-        for j, y in texts[:n]:
+    for n, (i, x, p) in enumerate(texts):
+        for j, y, q in texts[:n]:
             longer = max(len(x), len(y))
-            if find(i) == find(j) or longer - sum((Counter(x) & Counter(y)).values()) > 0.2 * longer:
+            if find(i) == find(j) or not (p == q).any():
                 continue
             if _edits(x, y) <= (1 - params.similarity) * longer + 1e-9:
                 a, b = find(i), find(j)

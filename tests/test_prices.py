@@ -222,3 +222,14 @@ def test_price_scan_reads_only_dates_in_reach(spark):
     panel = catalog.build_panel(spark, "/root/testdata/sf0.001")
     plan = panel._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThanOrEqual(l_shipdate" in plan and "LessThan" in plan
+
+
+def test_day_table_has_tasks_for_its_days(spark, monkeypatch):
+    # Two bars a year apart stand for 370 days, so few bytes reach the task that spreads them.
+    rows = [(f"T{i:03d}", dt.date(2020 + j, 1, 2), 10.0 + j) for i in range(40) for j in range(2)]
+    bars = spark.createDataFrame(rows, "ticker string, date date, close double")
+    monkeypatch.setattr(prices, "DAYS_PER_TASK", 1_000, raising=False)
+    days = prices.price_days(bars)
+    n = days.count()
+    parts = days.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+    assert n >= 40 * 366 and days.rdd.getNumPartitions() >= n // 1_000 and parts < n / 5

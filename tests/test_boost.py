@@ -160,6 +160,18 @@ def test_one_job_per_level(spark):
     assert jobs <= 2 * 6 * 2 + 20
 
 
+def test_a_level_is_one_job(spark):
+    rows = sample(spark, 60)
+    sc = spark.sparkContext
+    sc.setJobGroup("one-job", "boost")
+    try:
+        boost.boost(rows, FEATURES, fits(), boost.TreeParams(trees=20, depth=2, store_every=10))
+        jobs = len(sc.statusTracker().getJobIdsForGroup("one-job"))
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs <= 20 * 2 + 25
+
+
 def test_no_worse_than_another_implementation(spark):
     rng, rows = random.Random(5), []
     for i in range(4_000):

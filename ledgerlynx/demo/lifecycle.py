@@ -27,11 +27,15 @@ c = F.col
 
 def company_documents(spark: SparkSession, d: str) -> DataFrame:
     """(cik, doc): one facts document per company with all its facts, as filed."""
-    return documents_of(t.all_facts(spark, d))
+    return documents_of(t.all_facts(spark, d).repartition("cik"))
 
 
 def documents_of(facts: DataFrame) -> DataFrame:
-    """(cik, doc) of a long fact table."""
+    """(cik, doc) of a long fact table.
+
+    Facts that are partitioned by cik move no more: a document is one row, so all steps to
+    it stay with its company.
+    """
     entry = F.to_json(
         F.struct(
             "form", "fy", "fp", c("end").cast("string").alias("end"),
@@ -153,14 +157,18 @@ def _(spark, d):
 )
 def _(spark, d):
     """The panel from documents where the unit decides: other units carry wrong values."""
-    facts = t.all_facts(spark, d)
-    decoy = facts.where((c("unit") == "USD") & (c("cik") % 3 == 0)).withColumns(
-        {"unit": F.lit("shares"), "val": c("val") * 7}
-    )
-    late = facts.where(c("unit").isin("USD", "shares") & (c("cik") % 3 == 1)).withColumns(
-        {"unit": F.lit("USD/shares"), "val": c("val") * 5}
+    # Every fact moves once, to its company; wrong copies are made there.
+    facts = t.all_facts(spark, d).repartition("cik")
+    as_filed = F.struct("unit", "val")
+    decoy = F.struct(F.lit("shares").alias("unit"), (c("val") * 7).alias("val"))
+    late = F.struct(F.lit("USD/shares").alias("unit"), (c("val") * 5).alias("val"))
+    copies = (
+        F.when((c("unit") == "USD") & (c("cik") % 3 == 0), F.array(as_filed, decoy))
+        .when(c("unit").isin("USD", "shares") & (c("cik") % 3 == 1), F.array(as_filed, late))
+        .otherwise(F.array(as_filed))
     )
-    docs = documents_of(facts.unionByName(decoy).unionByName(late))
+    filed = facts.withColumn("_copy", F.explode(copies))
+    docs = documents_of(filed.withColumns({"unit": c("_copy.unit"), "val": c("_copy.val")}).drop("_copy"))
     panel = panel_plan.build_panel(
         t.companies(spark, d), landed.explode_facts(docs), t.bars(spark, d), t.benchmark(spark, d),
         t.AS_OF, t.YEARS, t.FLOOR,

@@ -149,3 +149,10 @@ def test_text_search_overrides_tagged_going_concern(spark):
     rows = fin.select(stripped_cik(F.col("cik")), "going_concern", "auditor_name").collect()
     assert rows and all(gc == (cik in hits) for cik, gc, _ in rows)
     assert any(name for *_, name in rows)
+
+
+def test_a_company_document_takes_one_shuffle(spark):
+    from ledgerlynx.demo import lifecycle
+
+    plan = plan_of(lifecycle.company_documents(spark, SF))
+    assert len(re.findall(r"Exchange hashpartitioning", plan)) == 1

@@ -5,6 +5,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -172,6 +173,58 @@ def test_a_level_is_one_job(spark):
     assert jobs <= 20 * 2 + 25
 
 
+def test_only_the_lighter_child_is_counted():
+    """Below a split of 30 and 10 rows, one task sums the ten; the rest comes from the parent."""
+    n, p = 40, boost.TreeParams(depth=2, bins=4, subsample=1.0)
+    fit = boost.Fit("12m", None, "squared")
+    bins = np.where(np.arange(n) < 30, 0, 2).astype(np.uint8)[None]
+    block = boost.Block(
+        bins, {"12m": (0, n)}, np.full(n, 2000), np.zeros(n), np.arange(n, dtype=float),
+        np.arange(n).astype(np.uint64), np.zeros((1, n)),
+    )
+    inner = np.zeros((1, 3), dtype=np.int64)
+    trees = boost.Trees(0.0, inner - 1, inner.copy(), np.zeros((1, 3)), np.zeros((1, 7)), np.zeros((1, 7)))
+
+    def state(level):
+        opened = [(trees.feature[0], trees.bin[0])]
+        return boost._State(
+            [fit], p, np.zeros((1, 1), dtype=int), np.zeros(1), np.ones((1, 1), dtype=bool), 0, level,
+            [[]], opened, [boost._lighter(trees, 0, level)],
+        )
+
+    ((root, whole),) = boost.histograms(iter([block]), state(0))
+    trees.feature[0, 0], trees.bin[0, 0], trees.cover[0, 1:3] = 0, 1, (30.0, 10.0)
+    below = state(1)
+    ((node, part),) = boost.histograms(iter([block]), below)
+    assert root == (0, 0) and node == (0, 1)
+    assert part[1].sum() == 10 * (1 << 24)
+    both = dict(boost._children(((0, 0), (part, whole)), below))
+    assert both[0, 0][1].sum() == 30 * (1 << 24) and both[0, 1][1].sum() == 10 * (1 << 24)
+    assert (both[0, 0] + both[0, 1] == whole).all()
+    # A node without a split hands all on, and nothing of it is counted again.
+    trees.feature[0, 0] = -1
+    assert not list(boost.histograms(iter([block]), state(1)))
+    assert [k for k, _ in boost._children(((0, 0), (None, whole)), state(1))] == [(0, 0)]
+
+
+def test_no_block_replays_trees(spark, monkeypatch):
+    """Blocks are stored every few trees; a new one adds one tree, whatever came before."""
+    calls, stored = [], boost._stored
+    monkeypatch.setattr(boost, "_stored", lambda *a: calls.append(1) or stored(*a))
+    p = boost.TreeParams(trees=6, depth=2, store_every=2)
+    some = boost.boost(sample(spark, 60), FEATURES, fits(), p)
+    assert len(calls) == 2
+    whole = boost.boost(sample(spark, 60), FEATURES, fits(), boost.TreeParams(trees=6, depth=2))
+    for a, b in zip(some.trees, whole.trees, strict=True):
+        assert (a.feature == b.feature).all() and (a.value == b.value).all()
+
+
+def test_batches_are_joined_to_blocks():
+    batches = [pa.RecordBatch.from_arrays([pa.array(range(n), pa.int64())], names=["x"]) for n in (3, 0, 4, 5, 1)]
+    assert [b.num_rows for b in boost._joined(iter(batches), 6)] == [7, 6]
+    assert not list(boost._joined(iter(batches[1:2]), 6))
+
+
 def test_no_worse_than_another_implementation(spark):
     rng, rows = random.Random(5), []
     for i in range(4_000):

@@ -12,6 +12,8 @@ from ledgerlynx.llm.common import share_of, table
 
 #: Bytes of a repeat: fewer than 51 words of four letters and their blanks have.
 REPEAT = 200
+#: Half the words a packing worker remembers: workers still hold what earlier stages left.
+REMEMBERED = 50_000
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
@@ -46,7 +48,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces of every document, placed in sequences."""
-    return packing.pack_documents(docs)
+    return packing.pack_documents(docs, packing.PackParams(words=REMEMBERED))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -28,28 +28,34 @@ from pyspark.sql import functions as F
 from .common import share_of
 from .tokens import word_ids
 
+_TEXTS = 512  # texts a worker holds as Python strings at a time
+
 
 @dataclass(frozen=True)
 class PackParams:
+    """``words``: a worker remembers the ids of at most twice as many words; fewer take less
+    memory and more time, the ids are the same."""
+
     capacity: int = 4096
     bins: int = 64
     pattern_docs: int = 3
     least_fill: float = 0.93
     tokenizer: str = "word_bpe_49k.json"
     end_id: int = 1
+    words: int = 300_000
 
 
 def token_pieces(docs: DataFrame, params: PackParams = PackParams()) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32): every document's ids, cut at the capacity."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    size, name = params.capacity, params.tokenizer
+    size, name, words = params.capacity, params.tokenizer, params.words
     end = int(params.end_id).to_bytes(4, "little")
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import public_tokenizers
 
-        coder = word_ids(public_tokenizers.path(name))
-        for batch in batches:
+        coder = word_ids(public_tokenizers.path(name), words)
+        for batch in (b.slice(low, _TEXTS) for b in batches for low in range(0, b.num_rows, _TEXTS)):
             texts = [t or "" for t in batch.column("text").to_pylist()]
             at, piece, start, length, crc = [], [], [], [], []
             for i, ids in enumerate(coder.encode(texts)):

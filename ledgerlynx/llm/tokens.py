@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .common import share_of
 
-_CACHED = 600_000  # words a worker remembers; then it starts anew
+_CACHED = 300_000  # words of each of the two generations a worker remembers
 _WORD_CHARS = 64
 
 # The vocabulary's own split of lower-cased text into words, spelled out for
@@ -48,16 +48,26 @@ def vocabulary(name: str) -> str:
 
 
 class _Known(dict):
-    """Word to its ids as bytes; a new word is asked of the vocabulary once."""
+    """Word to its ids as bytes; a word not met lately is asked of the vocabulary.
 
-    def __init__(self, model):
+    Holds at most ``size`` words, and as many of the generation before, of which those met
+    again move on; so frequent words stay and rare ones take bounded memory.
+    """
+
+    def __init__(self, model, size: int = _CACHED):
         super().__init__()
-        self.tokenize, self.letters = model.tokenize, _byte_letters()
+        self.tokenize, self.letters, self.size = model.tokenize, _byte_letters(), size
+        self.before: dict[str, bytes] = {}
 
     def __missing__(self, word: str) -> bytes:
-        spelled = word.encode().decode("latin-1").translate(self.letters)
-        ids = b"".join([t.id.to_bytes(4, "little") for t in self.tokenize(spelled)])
+        ids = self.before.get(word)
+        if ids is None:
+            spelled = word.encode().decode("latin-1").translate(self.letters)
+            ids = b"".join([t.id.to_bytes(4, "little") for t in self.tokenize(spelled)])
         if len(word) <= _WORD_CHARS:
+            if len(self) >= self.size:
+                self.before = dict(self)
+                self.clear()
             self[word] = ids
         return ids
 
@@ -70,12 +80,12 @@ class WordIds:
     the library whole.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, words: int = _CACHED):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.known = _Known(self.tokenizer.model)
+        self.known = _Known(self.tokenizer.model, words)
 
     def library(self, text: str) -> bytes:
         text = text.encode("utf-8", "replace").decode()
@@ -91,8 +101,6 @@ class WordIds:
             if any(s in text for s in self.special):
                 yield self.library(text)
                 continue
-            if len(self.known) > _CACHED:
-                self.known.clear()
             low = text.lower()
             if not low.isascii() and _BEYOND.search(low):
                 yield self.library(text)
@@ -101,9 +109,9 @@ class WordIds:
 
 
 @cache
-def word_ids(path: str) -> WordIds:
-    """One encoder per worker process."""
-    return WordIds(path)
+def word_ids(path: str, words: int = _CACHED) -> WordIds:
+    """One encoder per worker process; it remembers at most twice ``words`` words."""
+    return WordIds(path, words)
 
 
 @cache

@@ -168,6 +168,22 @@ def test_word_ids_equal_the_library():
         assert np.frombuffer(ids, "<u4").tolist() == expected, text
 
 
+def test_word_ids_remember_a_bounded_number_of_words():
+    whole, few = (tokens.WordIds(tokens.vocabulary("word_bpe_49k.json"), n) for n in (300_000, 20))
+    texts = [" ".join(f"often w{chr(97 + i % 26)}{chr(97 + k)}" for k in range(26)) for i in range(60)]
+    for a, b in zip(whole.encode(texts), few.encode(texts), strict=True):
+        assert a == b and len(few.known) + len(few.known.before) <= 40
+    assert "often" in few.known
+
+
+def test_packing_slices_a_batch_of_texts(spark, monkeypatch):
+    docs = table(spark, SF, "documents").limit(200).coalesce(1)
+    expected = sorted(map(tuple, packing.token_pieces(docs).collect()))
+    monkeypatch.setattr(packing, "_TEXTS", 7)
+    coded = packing.token_pieces(docs, packing.PackParams(words=50))
+    assert sorted(map(tuple, coded.collect())) == expected
+
+
 def test_packing_round_trip(spark):
     docs = table(spark, SF, "documents")
     rows = packing.pack_documents(docs).collect()

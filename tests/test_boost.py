@@ -219,6 +219,40 @@ def test_no_block_replays_trees(spark, monkeypatch):
         assert (a.feature == b.feature).all() and (a.value == b.value).all()
 
 
+def test_whole_fits_equal_lock_step(spark):
+    """One task for a small fit gives the very trees of lock-step, also when only some are small."""
+    rows, p = sample(spark), boost.TreeParams(trees=5, depth=3)
+    rows = rows.where("horizon = '24m' OR cik % 2 = 0")
+    together = boost.boost(rows.repartition(5), FEATURES, fits(), p)
+    counts = [3 * 120, 3 * 120, 3 * 320]  # cells that train each fit
+    for cells in (max(counts), min(counts)):
+        whole = boost.boost(rows, FEATURES, fits(), p, cells)
+        for a, b in zip(whole.trees, together.trees, strict=True):
+            assert a.base == b.base and (a.feature >= 0).any()
+            for part in ("feature", "bin", "gain", "value", "cover"):
+                assert (getattr(a, part) == getattr(b, part)).all(), part
+        left, right = (
+            rows_by(boost.final_margins(x, ["horizon", "cik"]), "horizon", "cik", "fit") for x in (whole, together)
+        )
+        assert left.keys() == right.keys() and all(left[i]["margin"] == right[i]["margin"] for i in left)
+
+
+def test_small_fits_do_not_take_a_job_for_each_level(spark):
+    rows = sample(spark, 100)
+    horizons = {h: model.Horizon(rows.where(F.col("horizon") == h), "actual", "beat") for h in ("12m", "24m")}
+    sc = spark.sparkContext
+    made = []
+    for trees in (2, 12):
+        sc.setJobGroup(f"whole-{trees}", "boost")
+        try:
+            fit = model.walk_forward_horizons(horizons, FEATURES, boost.TreeParams(trees=trees, depth=3))
+            made.append(len(sc.statusTracker().getJobIdsForGroup(f"whole-{trees}")))
+        finally:
+            sc.setLocalProperty("spark.jobGroup.id", None)
+        assert len(fit.fitted.trees) == 8 and all((t.feature[:, 0] >= 0).any() for t in fit.fitted.trees)
+    assert made[0] == made[1]
+
+
 def test_batches_are_joined_to_blocks():
     batches = [pa.RecordBatch.from_arrays([pa.array(range(n), pa.int64())], names=["x"]) for n in (3, 0, 4, 5, 1)]
     assert [b.num_rows for b in boost._joined(iter(batches), 6)] == [7, 6]

@@ -249,6 +249,22 @@ def test_registered_walk_forward_is_the_full_model(spark, monkeypatch):
     assert tested and all(r["n_stocks"] == 20 for r in tested)
 
 
+def test_registered_predictions_take_few_jobs_for_all_trees(spark, monkeypatch):
+    import __spark_entry__ as entry
+
+    d = "/root/testdata/sf0.01"
+    entry.catalog.panel(spark, d)
+    monkeypatch.setattr(entry.catalog, "_fits", {})
+    spark.sparkContext.setJobGroup("predictions", "all trees")
+    try:
+        assert compare.difference(spark, compare.connect(d), "model_predictions", d)[0] is None
+        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("predictions"))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    (made,) = entry.catalog._fits.values()
+    assert all(t.feature.shape == (200, 15) for t in made.fitted.trees) and jobs < 400
+
+
 def test_registered_final_model_scores_and_explains(spark, monkeypatch):
     import __spark_entry__ as entry
 
